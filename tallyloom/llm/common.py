@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they may not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="tallyloom-")) / "tallyloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(to))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -68,4 +87,5 @@ def ascii_lower(text: Column) -> Column:
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under internal names, so that no extra column can clash."""
+    ship(df.sparkSession)
     return df.select(*(F.col(f"`{name}`").alias(to) for to, name in columns.items()))

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .fingerprints import as_text, edited_pairs, resemblance
+from .langid import language_id
+from .licenses import license_scan
+from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import STOP_WORDS, THRESHOLDS, quality_rules
+from .warc import warc_round_trip
+
+
+def tokenizer_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir, name):
@@ -50,9 +62,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_mix_sources(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_license_scan(spark, sf_dir):
+    out = license_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op7_fingerprints(spark, sf_dir):
+    d = edited_pairs(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op8_warc(spark, sf_dir):
+    out = warc_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP8_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+"""
+
+
+def op10_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_license_scan": op6_license_scan,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op1_quality_rules": _op1_sql(),
+    "op8_warc": _OP8_SQL,
 }
