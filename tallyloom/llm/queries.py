@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .fingerprints import as_text, edited_pairs, resemblance
 from .langid import language_id
 from .licenses import license_scan
+from .lmscore import score_documents
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import STOP_WORDS, THRESHOLDS, quality_rules
@@ -62,6 +63,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op3_lm_score(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -107,6 +112,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_lm_score": op3_lm_score,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_license_scan": op6_license_scan,
