@@ -9,6 +9,7 @@ from .langid import language_id
 from .licenses import license_scan
 from .lmscore import score_documents
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import STOP_WORDS, THRESHOLDS, quality_rules
 from .warc import warc_round_trip
@@ -106,6 +107,10 @@ FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
 """
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts")
+
+
 def op10_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
