@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import STOP_WORDS, THRESHOLDS, quality_rules
+from .suffixdedup import dedup_passages
 from .warc import warc_round_trip
 
 
@@ -64,6 +65,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    d = dedup_passages(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_lm_score(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -117,6 +129,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
