@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, only, words
+from .common import SPACE_CHARS, words
 
 # Frequent function words of the languages that the rules know.
 STOP_WORDS = {
@@ -50,14 +50,15 @@ def repeated_window_words(word_hashes: Column, width: int = 3) -> Column:
     return windows
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: its id and every metric of the rules."""
-    d = only(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """One row a document: its id, the carried value (as `carried`) and every metric of the rules."""
+    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), (F.lit(None) if carry is None else carry).alias("carried"))
     d = d.withColumn("w", words(F.col("text"))).withColumn("lines", F.split("text", "\n", -1))
     bare = lambda x: F.btrim(x, F.lit(SPACE_CHARS))
     stop = sorted({x for v in STOP_WORDS.values() for x in v.split()})
     d = d.select(
         "doc_id",
+        "carried",
         "text",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -80,6 +81,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     letters = F.length(F.regexp_replace("text", "[^\\p{L}]+", ""))
     return d.select(
         "doc_id",
+        "carried",
         "n_words",
         "word_chars",
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -121,5 +123,12 @@ def verdicts(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     )
 
 
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+    """The rows of df that the rules keep, with all their columns."""
+    # the running id keeps the optimizer from pushing the filter, and a copy of every metric with it, below the metrics
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return verdicts(measure(df, id_col, text_col, row), thresholds).withColumn("once", F.monotonically_increasing_id()).where("kept AND once >= 0").select(*(F.col("carried")[c].alias(c) for c in df.columns))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    return verdicts(measure(df, id_col, text_col), thresholds)
+    return verdicts(measure(df, id_col, text_col), thresholds).drop("carried")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import U, by_bucket, chunks, mixed, packed, powers, prefix_hash, span_hash, texts_of, unpacked
-from .common import only, partitions, written
+from .common import partitions, ship, written
 from .lmscore import _by_key
 
 DEPTH, GRAM, GROUP = 50, 32, 4 << 20
@@ -40,8 +40,9 @@ _LOW = U((1 << 40) - 1)
 
 
 def _grouped(batches):
-    """Groups of documents of about GROUP bytes, each one row."""
+    """Groups of documents of about GROUP bytes, each one row (kind 0), and a row of carried columns (kind 5)."""
     for batch in batches:
+        carried = batch.select([c for c in batch.schema.names if c.startswith("carried_")])
         texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
         for s, e in chunks(texts, GROUP):
             own = ids.slice(s, e - s)
@@ -49,7 +50,12 @@ def _grouped(batches):
             raw = np.frombuffer(b"".join(texts[s:e]), np.uint8)
             size = np.fromiter(map(len, texts[s:e]), "<i8", e - s)
             gid = int(batch.column("rid")[s].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([gid]), pa.array([packed(number, size, raw)], pa.binary())], _NAMES)
+            yield _rows([(0, 0, gid, packed(number, size, raw))])
+            if carried.num_columns:
+                to = pa.BufferOutputStream()
+                with pa.ipc.new_stream(to, carried.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(carried.slice(s, e - s))
+                yield _rows([(5, 0, gid, to.getvalue().to_pybytes())])
 
 
 _NAMES = ["kind", "bucket", "gid", "blob"]
@@ -315,13 +321,19 @@ def _cut(depth):
             gone = gone > 0
             first = np.cumsum(size) - size
             out = []
+            carried = [pa.ipc.open_stream(r[3]).read_all().combine_chunks().to_batches()[0] for r in rows if r[0] == 5]
             for d, (s, n) in enumerate(zip(first, size, strict=True)):
                 g = gone[s : s + n]
                 edge = np.flatnonzero(np.diff(g, prepend=False, append=False))
                 out.append((None if ids[d] == _LAST else int(ids[d]), int(n), [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)], raw[s : s + n][~g].tobytes()))
             for k in range(0, len(out), 1000):
                 a, b, c_, d_ = zip(*out[k : k + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c_, _SPANS), pa.array(d_, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c_, _SPANS)]
+                if carried:
+                    own = carried[0].slice(k, 1000)
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([x.decode("utf-8", "ignore") for x in d_], pa.string()), *own.columns], ["doc_id", "n_bytes", "spans", "kept_text", *own.schema.names])
+                else:
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(d_, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -337,18 +349,36 @@ def free_shuffles(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte ranges, maximal, in order) and kept (the remaining bytes) of every row."""
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte ranges, maximal, in order) and kept (the remaining bytes) of every row.
+
+    With columns to carry, these come as carried_0, carried_1, ... and the kept
+    bytes as text (kept_text).
+    """
     if not gram <= depth <= gram + 31:
         raise ValueError("a run's windows are kept as 32 bits")
     spark = df.sparkSession
+    ship(spark)
     n = partitions(spark)
-    d = only(df, doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    groups = written(d.mapInArrow(_grouped, _ROW))
+    own = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry or [])]
+    d = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid"), *own)
+    written_groups = written(d.mapInArrow(_grouped, _ROW))
+    groups = written_groups.where("kind = 0")
     known = written(groups.mapInArrow(_send_anchors(n, depth, gram), _ROW).repartition(n, "bucket").mapInArrow(_find_repeats, _ROW))
     free_shuffles(spark)
     runs = written(groups.unionByName(known).repartition(n, "gid").mapInArrow(_send_runs(n, depth, gram), _ROW))
     free_shuffles(spark)
     solved = written(runs.where("kind = 2").repartition(n, "bucket").mapInArrow(_resolve(depth), _ROW))
     free_shuffles(spark)
-    return groups.unionByName(runs.where("kind = 3")).unionByName(solved).repartition(n, "gid").mapInArrow(_cut(depth), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    schema = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, " + (
+        "kept_text string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name.startswith("carried_")) if carry else "kept binary"
+    )
+    return written_groups.unionByName(runs.where("kind = 3")).unionByName(solved).repartition(n, "gid").mapInArrow(_cut(depth), schema)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+    """The rows of df with their kept text; bytes of characters that a cut has split are dropped."""
+    others = [c for c in df.columns if c != text_col]
+    cut = dedup_passages(df, id_col, text_col, depth, gram, carry=others)
+    at = {c: f"carried_{i}" for i, c in enumerate(others)}
+    return cut.select(*(F.col("kept_text" if c == text_col else at[c]).alias(c) for c in df.columns))
