@@ -15,7 +15,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -23,34 +25,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytewise import chunks
 from .common import only, partitions, written
 
 CAPACITY, END = 4096, 1
 #: Distinct words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+
+
+# The settings of a tokenizer of lower-case words whose parts _Ids can cut by itself.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Latin letters, digits and signs, which are in normal form C and none of which is a blank.
+_LATIN = re.compile("[!-~\u00a1-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """str.translate table from Latin-1 characters, one a byte, to a byte-level vocabulary's letters."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + hidden.index(b)) for b in hidden}
 
 
 class _Ids(dict):
-    """Ids of the parts of a text between ASCII blanks, which this tokenizer never joins."""
+    """Ids of the parts of a text between ASCII blanks, which such a tokenizer never joins.
+
+    The words of a Latin part are cut here and given to the vocabulary's model,
+    once for each distinct word; other parts, and all parts under other
+    settings, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, part: str):
-        ids = tuple(self.tokenizer.encode(part, add_special_tokens=False).ids)
-        if len(part) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = ids
+        self.model, self.table = self.tokenizer.model, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        normal = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.cut = regex.compile(_CUT) if normal == _NORMAL and split.get("pattern", {}).get("Regex") == _CUT and split.get("invert") else None
+        self.held = [t["content"] for t in told.get("added_tokens", [])]
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in text.replace("\n", " ").replace("\t", " ").split(" "):
-            if part:
-                out += self[part]
+    def _part(self, part: str) -> bytes:
+        if self.cut is not None:
+            if part.isalpha() and max(part) < "\u0250":
+                word = part.lower()
+                if word.isalpha():
+                    return self.words.get(word) or self._word(word)
+            elif _LATIN.fullmatch(part) and not any(h in part for h in self.held):
+                return b"".join([self.words.get(w) or self._word(w) for w in self.cut.findall(part.lower())])
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as unsigned 32-bit numbers."""
+        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = set().union(*parts).difference(self)
+        for p in new:
+            self[p] = self._part(p) if p else b""
+        out = [b"".join(map(self.__getitem__, p)) for p in parts]
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.words.clear()
+        else:
+            for p in new:
+                if len(p) > 64:
+                    del self[p]
         return out
 
 
@@ -59,11 +108,13 @@ def piece_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
-        memory = _Ids(tokenizer_path)
+        memory, end = _Ids(tokenizer_path), array("I", [END]).tobytes()
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch.column("text")):
-                ids = np.array([*memory.encode(text.as_py() or ""), END], dtype="<u4")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            encoded = (x for s, e in chunks(texts, 1 << 20) for x in memory.encode(texts[s:e]))
+            for k, ids in enumerate(encoded):
+                ids = np.frombuffer(ids + end, np.uint32).astype("<u4", copy=False)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     cut = ids[start : start + capacity]
                     rows.append((k, piece, start, len(cut), zlib.crc32(cut.tobytes()), cut.tolist() if with_ids else None))
