@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import inline, lenient_integer, spaced_words, truncated, without_control
+from .text import bound, inline, lenient_integer, spaced_words, truncated, without_control
 
 
 def at(payload: Column, *paths: str) -> Column:
@@ -43,9 +43,9 @@ def token_usage(payload: Column, usage: Column | None = None) -> Column:
 
 def usage_text(usage: Column) -> Column:
     """`in X, out Y, total Z`, without missing parts; null if all are."""
-    part = lambda word, names: F.concat(F.lit(f"{word} "), F.format_number(counter(usage, names), 0))
-    text = F.concat_ws(", ", part("in", INPUT_NAMES), part("out", OUTPUT_NAMES), part("total", TOTAL_NAMES))
-    return F.nullif(text, F.lit(""))
+    part = lambda u, word, names: F.concat(F.lit(f"{word} "), F.format_number(counter(u, names), 0))
+    text = lambda u: F.concat_ws(", ", part(u, "in", INPUT_NAMES), part(u, "out", OUTPUT_NAMES), part(u, "total", TOTAL_NAMES))
+    return bound(bound(usage, text), lambda t: F.when(t != "", t))
 
 
 def is_rate_limits(x: Column) -> Column:
@@ -69,6 +69,10 @@ def rate_limit_bucket(x: Column) -> Column:
 
 
 def rate_limits_text(x: Column) -> Column:
+    return bound(x, _rate_limits_text)
+
+
+def _rate_limits_text(x: Column) -> Column:
     credits = at(x, "credits")
     money = (
         F.when(at(credits, "unlimited") == "true", "credits unlimited")
@@ -85,9 +89,9 @@ def rate_limits_text(x: Column) -> Column:
 
 def command_text(x: Column) -> Column:
     """Command of a JSON text: a string, a list of words, or an object that holds one."""
-    held = F.coalesce(at(x, "parsedCmd", "command", "cmd"), x)
-    words = F.array_join(F.from_json(held, "array<string>"), " ")
-    return inline(F.when(held.startswith("["), words).when(held.startswith("{"), None).otherwise(held))
+    words = lambda held: F.array_join(F.from_json(held, "array<string>"), " ")
+    text = lambda held: F.when(held.startswith("["), words(held)).when(held.startswith("{"), None).otherwise(held)
+    return inline(bound(bound(x, lambda v: F.coalesce(at(v, "parsedCmd", "command", "cmd"), v)), text))
 
 
 def line_count(diff: Column) -> Column:
@@ -95,7 +99,7 @@ def line_count(diff: Column) -> Column:
 
 
 def _with(base: str, value: Column, pattern: str = " (%s)") -> Column:
-    return F.concat(F.lit(base), F.coalesce(F.format_string(pattern, value), F.lit("")))
+    return F.concat(F.lit(base), bound(value, lambda v: F.when(v.isNotNull(), F.format_string(pattern, v)).otherwise("")))
 
 
 def _present(base: str, value: Column, pattern: str) -> Column:
@@ -135,7 +139,10 @@ METHOD_FIXED = {
 
 
 def _lifecycle(p: Column, state: str) -> Column:
-    item = F.coalesce(at(p, "params.item", "params.msg.payload"), F.lit("{}"))
+    return bound(F.coalesce(at(p, "params.item", "params.msg.payload"), F.lit("{}")), lambda item: _item(item, state))
+
+
+def _item(item: Column, state: str) -> Column:
     kind = F.coalesce(spaced_words(at(item, "type")), F.lit("item"))
     extra = F.concat_ws(", ", F.substring(at(item, "id"), 1, 12), spaced_words(at(item, "status")))
     return F.concat(F.lit(f"item {state}: "), kind, F.when(extra != "", F.concat(F.lit(" ("), extra, F.lit(")"))).otherwise(""))
@@ -150,7 +157,7 @@ def method_sentence(method: Column, p: Column) -> Column:
     diff = at(p, "params.diff")
     files = at(p, "params.fileChangeCount", "params.changeCount").try_cast("long")
     question = at(p, "params.question", "params.prompt")
-    asks = F.when(F.coalesce(F.trim(question) != "", F.lit(False)), F.concat(F.lit("tool requires user input: "), inline(question))).otherwise("tool requires user input")
+    asks = bound(inline(question), lambda q: F.when(F.coalesce(q != "", F.lit(False)), F.concat(F.lit("tool requires user input: "), q)).otherwise("tool requires user input"))
     tool = at(p, "params.tool", "params.name")
     wrapped = F.regexp_extract(method, "^codex/event/(.+)$", 1)
     command = command_text(at(p, "params.command", "params.cmd", "params.parsedCmd", "params.msg.command", "params.msg.parsed_cmd"))
@@ -202,24 +209,24 @@ def _with_name(base: Column, kind: Column) -> Column:
 def event_sentence(event: Column, payload: Column) -> Column:
     """Sentence of a runtime event, 140 characters at most."""
     method, session, tool = at(payload, "method"), at(payload, "session_id"), at(payload, "params.tool", "params.name")
-    decision = at(payload, "decision")
-    approved = F.when(method.isNotNull(), F.concat(method_sentence(method, payload), F.lit(" (auto-approved)"))).otherwise("approval request auto-approved")
+    approved, failed = F.coalesce(event == "approval_auto_approved", F.lit(False)), event == "turn_failed"
+    says = method_sentence(F.when(failed, "turn/failed").otherwise(method), payload)
+    after = F.when(approved, F.concat(F.lit(" (auto-approved)"), F.coalesce(F.concat(F.lit(": "), at(payload, "decision")), F.lit("")))).otherwise("")
     reason = F.coalesce(at(payload, "reason", "error"), payload)
     plain = F.trim(without_control(F.replace(payload, F.lit("\n"), F.lit(" "))))
     sentence = (
         F.when(payload.isNull() & event.isNull(), "no message yet")
         .when(event == "session_started", _with("session started", session))
         .when(event == "turn_input_required", "turn blocked: waiting for user input")
-        .when(event == "approval_auto_approved", F.concat(approved, F.coalesce(F.concat(F.lit(": "), decision), F.lit(""))))
         .when(event == "tool_call_completed", _present("dynamic tool call completed", tool, " (%s)"))
         .when(event == "tool_call_failed", _present("dynamic tool call failed", tool, " (%s)"))
         .when(event == "unsupported_tool_call", _present("unsupported dynamic tool call rejected", tool, " (%s)"))
         .when(event == "turn_ended_with_error", F.concat(F.lit("turn ended with error: "), reason))
         .when(event == "startup_failed", F.concat(F.lit("startup failed: "), reason))
-        .when(event == "turn_failed", method_sentence(F.lit("turn/failed"), payload))
         .when(event == "turn_cancelled", "turn cancelled")
         .when(event == "malformed", "malformed JSON event")
-        .when(method.isNotNull(), method_sentence(method, payload))
+        .when(method.isNotNull() | failed, F.concat(says, after))
+        .when(approved, F.concat(F.lit("approval request auto-approved"), F.coalesce(F.concat(F.lit(": "), at(payload, "decision")), F.lit(""))))
         .when(session.isNotNull(), _with("session started", session))
         .when(at(payload, "error").isNotNull(), F.concat(F.lit("error: "), F.coalesce(at(payload, "error.message"), at(payload, "error"))))
         .otherwise(plain)

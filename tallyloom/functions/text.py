@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(x: Column, use) -> Column:
+    """use(x) with x evaluated, and written into the plan, once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def trimmed(x: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -96,7 +101,7 @@ def countdown_seconds(ms: Column) -> Column:
 
 def truncated(x: Column, most: int) -> Column:
     """Cut to `most` characters with an ellipsis if the text takes more bytes than that."""
-    return F.when(F.octet_length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
+    return bound(x, lambda v: F.when(F.octet_length(v) > most, F.concat(F.substring(v, 1, most), F.lit("..."))).otherwise(v))
 
 
 def cell(x: Column, width: int, right: bool = False) -> Column:
