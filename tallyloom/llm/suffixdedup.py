@@ -7,10 +7,11 @@ equal anchors at equal places, and only anchors cross the cluster at first
 
 1. Anchors found in one document alone are dropped: no window of theirs repeats.
 2. For each other anchor, the windows it stands for form one run; distinct runs
-   are sent once by each group of documents, with their bytes, to the anchor's
-   bucket. There, equal runs share the smallest document; the runs of an anchor
+   are sent once by each group of documents, as the anchor's 64-bit key and the
+   bytes around it, to the anchor's bucket. There, equal runs share the smallest document; the runs of an anchor
    that differ are cut into windows (suffixes), ordered by most-significant-digit
-   passes over eight bytes at a time, through DEPTH bytes and no further, groups
+   passes, the anchor's key and place first, then the bytes around it, eight at a
+   time, through DEPTH bytes in all and no further, groups
    of one dropping out after each pass. Groups left are exactly the repeated
    windows.
 3. Bytes covered by a window that a smaller document also has are removed.
@@ -172,12 +173,12 @@ def _send_runs(n, depth, gram):
             np.minimum.at(low, back, ids[doc])
             np.maximum.at(high, back, ids[doc])
             keep = (alive | (low < high))[back]
-            doc, start, many, place, where = doc[keep], start[keep], many[keep], place[keep], where[keep]
+            doc, start, many, place, where, key = doc[keep], start[keep], many[keep], place[keep], where[keep], key[keep]
             h = _run_hash(raw, start, start + many + depth - 1) + (place - start).astype(U) * U(0xC2B2AE3D27D4EB4F)
-            # one entry for each distinct run, by address and content, of its smallest document
-            order = np.lexsort((ids[doc], h, where))
+            # one entry for each distinct run, by key and content, of its smallest document
+            order = np.lexsort((ids[doc], h, key, where))
             new = np.ones(len(order), bool)
-            new[1:] = (where[order][1:] != where[order][:-1]) | (h[order][1:] != h[order][:-1])
+            new[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
             entry = np.empty(len(order), np.int64)
             entry[order] = np.cumsum(new) - 1
             head = order[new]
@@ -187,8 +188,10 @@ def _send_runs(n, depth, gram):
             for bucket, (e,) in by_bucket(eb, np.arange(len(head))):
                 index[e] = np.arange(len(e))
                 k = head[e]
-                text = raw[_ragged(start[k], many[k] + depth - 1)]
-                out.append((2, bucket, gid, packed(*_five(where[k] & _LOW), (place[k] - start[k]).astype("<u1"), many[k].astype("<u1"), ids[doc[k]], text)))
+                # the bytes around the anchor, left then right; the anchor's own bytes are its key
+                left, right = place[k] - start[k], start[k] + many[k] + depth - 1 - place[k] - gram
+                text = raw[_ragged(np.stack((start[k], place[k] + gram), 1).ravel(), np.stack((left, right), 1).ravel())]
+                out.append((2, bucket, gid, packed(key[k], left.astype("<u1"), many[k].astype("<u1"), ids[doc[k]], text)))
             local = ids[doc] > ids[doc[head]][entry] if len(head) else np.zeros(0, bool)
             o = np.argsort(start, kind="stable")
             out.append((3, -1, gid, packed(np.diff(start[o], prepend=0).astype("<i4"), many[o].astype("<u1"), eb[entry[o]].astype("<i4"), index[entry[o]].astype("<i4"), local[o].astype("<u1"))))
@@ -235,15 +238,21 @@ def equal_windows(windows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def _resolve(depth):
-    """For each entry, the windows (as bits) that a smaller document has."""
+def _resolve(around):
+    """For each entry, the windows (as bits) that a smaller document has; rows of kind 3 pass.
+
+    A window is its anchor's key and place, and the `around` bytes beside the anchor.
+    """
 
     def run(batches):
         for bucket, rows in _by_key(batches, "bucket").items():
+            if bucket < 0:
+                yield _rows(rows)
+                continue
             parts = [unpacked(r[3]) for r in rows]
-            low, high, off, many, ids, text = (np.concatenate(c) for c in zip(*parts, strict=True))
-            key, off, many = _wide(low, high), off.astype(np.int64), many.astype(np.int64)
-            size = many + depth - 1
+            key, off, many, ids, text = (np.concatenate(c) for c in zip(*parts, strict=True))
+            off, many = off.astype(np.int64), many.astype(np.int64)
+            size = many + around - 1
             start = np.cumsum(size) - size
             mask = np.zeros(len(key), np.uint32)
             full = ((U(1) << many.astype(U)) - U(1)).astype(np.uint32)
@@ -268,7 +277,7 @@ def _resolve(depth):
                     c = cut[s]
                     owner = np.repeat(c, many[c])
                     step = _ragged(np.zeros(len(c), np.int64), many[c])
-                    w = text[(start[owner] + step)[:, None] + np.arange(depth)]
+                    w = text[(start[owner] + step)[:, None] + np.arange(around)]
                     same = equal_windows(w, mixed(key[owner] * U(64) + (off[owner] - step).astype(U)))
                     hit = np.flatnonzero(same >= 0)
                     if len(hit):
@@ -355,7 +364,7 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     With columns to carry, these come as carried_0, carried_1, ... and the kept
     bytes as text (kept_text).
     """
-    if not gram <= depth <= gram + 31:
+    if not gram < depth <= gram + 31:
         raise ValueError("a run's windows are kept as 32 bits")
     spark = df.sparkSession
     ship(spark)
@@ -366,14 +375,14 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = written_groups.where("kind = 0")
     known = written(groups.mapInArrow(_send_anchors(n, depth, gram), _ROW).repartition(n, "bucket").mapInArrow(_find_repeats, _ROW))
     free_shuffles(spark)
-    runs = written(groups.unionByName(known).repartition(n, "gid").mapInArrow(_send_runs(n, depth, gram), _ROW))
-    free_shuffles(spark)
-    solved = written(runs.where("kind = 2").repartition(n, "bucket").mapInArrow(_resolve(depth), _ROW))
+    runs = groups.unionByName(known).repartition(n, "gid").mapInArrow(_send_runs(n, depth, gram), _ROW)
+    place = F.when(F.col("kind") == 2, F.col("bucket").cast("long")).otherwise(F.col("gid"))
+    solved = written(runs.repartition(n, place).mapInArrow(_resolve(depth - gram), _ROW))
     free_shuffles(spark)
     schema = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, " + (
         "kept_text string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name.startswith("carried_")) if carry else "kept binary"
     )
-    return written_groups.unionByName(runs.where("kind = 3")).unionByName(solved).repartition(n, "gid").mapInArrow(_cut(depth), schema)
+    return written_groups.unionByName(solved).repartition(n, "gid").mapInArrow(_cut(depth), schema)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
