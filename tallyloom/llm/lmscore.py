@@ -203,6 +203,8 @@ class Lattice:
     def words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of raw[start:end] behind one blank, the mark of a word's start."""
         size, out = end - start, np.empty(len(start))
+        if not len(start):
+            return out
         order = np.argsort(size, kind="stable")
         edge = np.flatnonzero(np.diff(size[order], prepend=-1))
         for s, e in zip(edge, [*edge[1:], len(order)], strict=True):

@@ -194,16 +194,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
                         rank, bins = rank + count * each, bins + count
                 left = 0
                 continue
+            # the tightest bin stays the tightest until no more of this length fits
             first, count = tree.runs[room].popleft()
-            take = min(count, left)
-            if take < count:
-                tree.runs[room].appendleft((first + take, count - take))
+            per = room // length
+            full = min(count, left // per)
+            rest = left - full * per if full < count else 0  # below per, as left // per bins are full
+            used = full + (1 if rest else 0)
+            if used < count:
+                tree.runs[room].appendleft((first + used, count - used))
             elif not tree.runs[room]:
                 tree.shut(room)
-            out.append((length, rank, rank + take - 1, first, 1, capacity - room))
-            if room > length:
-                tree.add(room - length, first, take)
-            rank, left = rank + take, left - take
+            for at, bins_, each in ((first, full, per), (first + full, 1 if rest else 0, rest)):
+                if bins_:
+                    out.append((length, rank, rank + bins_ * each - 1, at, each, capacity - room))
+                    if room > length * each:
+                        tree.add(room - length * each, at, bins_)
+                    rank, left = rank + bins_ * each, left - bins_ * each
     return out
 
 
