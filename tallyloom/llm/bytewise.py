@@ -81,15 +81,15 @@ def texts_of(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-_z: list = []
+_z: dict[int, zstandard.ZstdCompressor] = {}
 
 
-def packed(*columns: np.ndarray) -> bytes:
+def packed(*columns: np.ndarray, level: int = 1) -> bytes:
     """Columns of numbers as one compressed blob."""
-    if not _z:
-        _z.append(zstandard.ZstdCompressor(level=1))
+    if level not in _z:
+        _z[level] = zstandard.ZstdCompressor(level=level)
     head = np.array([len(columns), *(x for c in columns for x in (ord(c.dtype.char), len(c)))], "<i8")
-    return _z[0].compress(b"".join([head.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]))
+    return _z[level].compress(b"".join([head.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
@@ -105,6 +105,8 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray):
     """(bucket, columns of its rows) of every bucket that has rows; keeps the order within a bucket."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     edges = np.flatnonzero(np.diff(b, prepend=-1))

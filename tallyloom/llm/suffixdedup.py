@@ -3,7 +3,7 @@
 A window is a string of DEPTH bytes inside one document. Every window has an
 anchor: the least hash among its GRAM-byte substrings, so equal windows have
 equal anchors at equal places, and only anchors cross the cluster at first
-(about one for every ten bytes):
+(about one for every twelve bytes):
 
 1. Anchors found in one document alone are dropped: no window of theirs repeats.
 2. For each other anchor, the windows it stands for form one run; distinct runs
@@ -35,7 +35,7 @@ from .bytewise import U, by_bucket, chunks, mixed, packed, powers, prefix_hash,
 from .common import partitions, ship, written
 from .lmscore import _by_key
 
-DEPTH, GRAM, GROUP = 50, 32, 4 << 20
+DEPTH, GRAM, GROUP = 50, 28, 4 << 20
 _LAST = np.iinfo(np.int64).max
 _LOW = U((1 << 40) - 1)
 
@@ -51,7 +51,7 @@ def _grouped(batches):
             raw = np.frombuffer(b"".join(texts[s:e]), np.uint8)
             size = np.fromiter(map(len, texts[s:e]), "<i8", e - s)
             gid = int(batch.column("rid")[s].as_py())
-            yield _rows([(0, 0, gid, packed(number, size, raw))])
+            yield _rows([(0, 0, gid, packed(number, size, raw, level=3))])
             if carried.num_columns:
                 to = pa.BufferOutputStream()
                 with pa.ipc.new_stream(to, carried.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -353,9 +353,12 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def free_shuffles(spark) -> None:
     """Let Spark drop the files of shuffles that nothing refers to any more: it does so as the driver collects its garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass unreaches, the second collects; the cleaner works beside
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
