@@ -132,6 +132,7 @@ WRAPPED_FIXED = {
     "mcp_tool_call_begin": "mcp tool call started",
     "mcp_tool_call_end": "mcp tool call completed",
 }
+WRAPPED_PREFIX = "codex/event/"
 METHOD_FIXED = {
     "turn/cancelled": "turn cancelled",
     "account/chatgptAuthTokens/refresh": "account auth token refresh requested",
@@ -159,7 +160,7 @@ def method_sentence(method: Column, p: Column) -> Column:
     question = at(p, "params.question", "params.prompt")
     asks = bound(inline(question), lambda q: F.when(F.coalesce(q != "", F.lit(False)), F.concat(F.lit("tool requires user input: "), q)).otherwise("tool requires user input"))
     tool = at(p, "params.tool", "params.name")
-    wrapped = F.regexp_extract(method, "^codex/event/(.+)$", 1)
+    wrapped = F.regexp_extract(method, f"^{WRAPPED_PREFIX}(.+)$", 1)
     command = command_text(at(p, "params.command", "params.cmd", "params.parsedCmd", "params.msg.command", "params.msg.parsed_cmd"))
     exit_code = at(p, "params.msg.exit_code", "params.msg.exitCode").try_cast("long")
     wrapped_usage = at(p, "params.msg.payload.info.total_token_usage", "params.msg.info.total_token_usage")
