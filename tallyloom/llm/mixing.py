@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, only, written
 
-WEIGHTS, MOST, SEED, BINS = (5.0, 2.0, 1.0), 3.0, 20_24, 1 << 16
+WEIGHTS, MOST, SEED, BINS = (5.0, 2.0, 1.0), 3.0, 20_24, 1 << 12
 #: Sources are a table of the driver's; more than this many is refused.
 MOST_SOURCES = 100_000
 
