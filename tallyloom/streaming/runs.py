@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.events import INPUT_NAMES, OUTPUT_NAMES, TOTAL_NAMES, counter, needs_operator, token_usage
-from ..functions.text import backoff_ms  # noqa: F401  the batch form of the delay below
 
 _STATE = "input long, output long, total long, turns long, session string, last_event string, last_ms long, attempt long, retry_at long"
 OUTPUT = "issue_id string, kind string, at_ms long, event string, input_tokens long, output_tokens long, total_tokens long, turn_count long, session_id string, attempt long, due_ms long"
