@@ -10,8 +10,8 @@ loser tree merges them into globally ordered capture histories.
 
 Defined results: null html is an empty payload and null url an empty one;
 records of fewer than MIN_REVISIT bytes are all responses; among equal payloads
-the smallest page_id is the response, and of rows that repeat that id one is; an
-absent page_id sorts last; an empty table gives no rows.
+the smallest page_id is the response, as are rows that repeat that id; an absent
+page_id sorts last, and is a revisit if an equal payload has an id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
@@ -51,7 +51,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
     large = F.col("bytes") >= MIN_REVISIT
     # only digests that stand twice or more matter, and their first page
     firsts = (
-        d.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.count("page_id").alias("ids"))
+        d.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("digest", "first")
     )
     d = d.join(firsts, "digest", "left")
@@ -83,27 +83,21 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 def _write(batches):
     data, archive, part = bytearray(), None, 0
-    name = hashlib.sha256()
-    held: list[tuple[int, bytes]] = []
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")]
         for page_id, url, html, digest, refers_to in zip(*cols, strict=True):
             rec = _record(page_id, url or "", html.encode("utf-8", "surrogatepass"), digest, refers_to)
-            if archive is None:
-                archive = hashlib.sha256(rec).hexdigest()[:24]
+            archive = archive or hashlib.sha256(rec).hexdigest()[:24]
             data += rec
             if len(data) >= PART_BYTES:
-                held.append((part, bytes(data)))
+                yield _part(archive, part, data)
                 data, part = bytearray(), part + 1
-            if held:
-                yield _parts(archive, held)
-                held = []
     if data:
-        yield _parts(archive, [(part, bytes(data))])
+        yield _part(archive, part, data)
 
 
-def _parts(archive, held):
-    return pa.RecordBatch.from_arrays([pa.array([archive] * len(held)), pa.array([p for p, _ in held], pa.int32()), pa.array([d for _, d in held], pa.binary())], ["archive", "part", "data"])
+def _part(archive, part, data):
+    return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([part], pa.int32()), pa.array([bytes(data)], pa.binary())], ["archive", "part", "data"])
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
