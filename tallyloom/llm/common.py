@@ -30,17 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATH = "_tallyloom_path"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    table goes when the driver's process ends.
+    shuffles behind the table are of no more use then, so Spark is told to drop
+    their files as the write ends. The table goes with dropped(), or when the
+    driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written() gave and that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, getattr(t, _PATH))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -69,8 +88,32 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(to))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, *tables: DataFrame, size: int = 32 << 20) -> int:
+    """Number of partitions for what is made of the tables: the session's, or more, one for each `size` bytes that they store.
+
+    A task's share so stays the same as the input grows. Tables without known
+    size (not read from files) count as none.
+    """
+    stored = 0
+    for t in tables:
+        n = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        stored += n if n < 1 << 60 else 0
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // size))
+
+
+def consecutive(batches, key: str):
+    """(key, rows) of each run of rows with one key; partitions sorted by key have one run a key, and one is held at a time."""
+    at, rows = None, []
+    for batch in batches:
+        k = batch.schema.get_field_index(key)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[k] != at:
+                yield at, rows
+                rows = []
+            at = row[k]
+            rows.append(row)
+    if rows:
+        yield at, rows
 
 
 def words(text: Column) -> Column:
