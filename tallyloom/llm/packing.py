@@ -34,10 +34,14 @@ REMEMBERED = 600_000
 
 
 # The settings of a tokenizer of lower-case words whose parts _Ids can cut by itself.
-_NORMAL = ["NFC", "Replace", "Lowercase"]
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}
 #: Latin letters, digits and signs, which are in normal form C and none of which is a blank.
 _LATIN = re.compile("[!-~\u00a1-\u024f]+")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What str.split takes for blanks and the tokenizer does not.
+_ODD = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,11 +52,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Ids(dict):
-    """Ids of the parts of a text between ASCII blanks, which such a tokenizer never joins.
+    """Ids of the parts of a text between blanks, which such a tokenizer never joins.
 
     The words of a Latin part are cut here and given to the vocabulary's model,
-    once for each distinct word; other parts, and all parts under other
-    settings, go through the whole tokenizer.
+    once for each distinct word; other parts go through the whole tokenizer, and
+    under any other settings whole texts do.
     """
 
     def __init__(self, path: str):
@@ -65,9 +69,10 @@ class _Ids(dict):
         self.model, self.table = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        normal = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
-        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.cut = regex.compile(_CUT) if normal == _NORMAL and split.get("pattern", {}).get("Regex") == _CUT and split.get("invert") else None
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = {k: v for k, v in (steps[0] if steps else {}).items() if k in _SPLIT}
+        self.known = (told.get("normalizer") or {}).get("normalizers") == _NORMAL and split == _SPLIT and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        self.cut = regex.compile(_CUT)
         self.held = [t["content"] for t in told.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
 
@@ -76,48 +81,70 @@ class _Ids(dict):
         ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _part(self, part: str) -> bytes:
-        if self.cut is not None:
-            if part.isalpha() and max(part) < "\u0250":
-                word = part.lower()
-                if word.isalpha():
-                    return self.words.get(word) or self._word(word)
-            elif _LATIN.fullmatch(part) and not any(h in part for h in self.held):
-                return b"".join([self.words.get(w) or self._word(w) for w in self.cut.findall(part.lower())])
-        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        word, words = part.lower(), self.words
+        if part.isascii():
+            if word.isalpha():
+                return words.get(word) or self._word(word)
+            bare = word.rstrip(_SIGNS)
+            if bare.isalpha():  # signs at the end are one word
+                tail = word[len(bare) :]
+                return (words.get(bare) or self._word(bare)) + (words.get(tail) or self._word(tail))
+        elif part.isalpha() and max(part) < "\u0250" and word.isalpha():
+            return words.get(word) or self._word(word)
+        if _LATIN.fullmatch(part) and not any(h in part for h in self.held):
+            return b"".join([words.get(w) or self._word(w) for w in self.cut.findall(word)])
+        return self._whole(part)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self._part(part)
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as unsigned 32-bit numbers."""
-        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self)
-        for p in new:
-            self[p] = self._part(p) if p else b""
-        out = [b"".join(map(self.__getitem__, p)) for p in parts]
+        if not self.known:
+            return [self._whole(t) for t in texts]
+        get, out = self.__getitem__, []
+        for t in texts:
+            parts = t.replace("\n", " ").replace("\t", " ").split(" ") if _ODD.search(t) else t.split()
+            out.append(b"".join(map(get, filter(None, parts))))
         if len(self) > REMEMBERED:
             self.clear()
             self.words.clear()
-        else:
-            for p in new:
-                if len(p) > 64:
-                    del self[p]
         return out
 
 
+_kept: dict[str, _Ids] = {}
+
+
+def _memory(path: str) -> _Ids:
+    """The worker's own tokenizer and remembered words, which its later tasks use, too."""
+    if path not in _kept:
+        _kept.clear()
+        _kept[path] = _Ids(path)
+    return _kept[path]
+
+
 def piece_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenized pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 (and ids)."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
-        memory, end = _Ids(tokenizer_path), array("I", [END]).tobytes()
+        memory, end = _memory(tokenizer_path), array("I", [END]).tobytes()
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             encoded = (x for s, e in chunks(texts, 1 << 20) for x in memory.encode(texts[s:e]))
             for k, ids in enumerate(encoded):
-                ids = np.frombuffer(ids + end, np.uint32).astype("<u4", copy=False)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[start : start + capacity]
-                    rows.append((k, piece, start, len(cut), zlib.crc32(cut.tobytes()), cut.tolist() if with_ids else None))
+                ids += end
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    cut = ids if len(ids) <= 4 * capacity else ids[4 * start : 4 * (start + capacity)]
+                    rows.append((k, piece, start, len(cut) // 4, zlib.crc32(cut), array("I", cut).tolist() if with_ids else None))
             k, piece, start, length, crc, cuts = zip(*rows, strict=True) if rows else ((),) * 6
             columns = [batch.column("doc_id").take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
