@@ -101,13 +101,16 @@ def partitions(spark: SparkSession, *tables: DataFrame, size: int = 32 << 20) ->
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // size))
 
 
-def consecutive(batches, key: str):
-    """(key, rows) of each run of rows with one key; partitions sorted by key have one run a key, and one is held at a time."""
+def consecutive(batches, key: str, alone=None):
+    """(key, rows) of each run of rows with one key; partitions sorted by key have one run a key, and one is held at a time.
+
+    Rows whose key is `alone` come one by one.
+    """
     at, rows = None, []
     for batch in batches:
         k = batch.schema.get_field_index(key)
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[k] != at:
+            if rows and (row[k] != at or at == alone):
                 yield at, rows
                 rows = []
             at = row[k]

@@ -1,19 +1,25 @@
 """Language-model scores of documents: a smoothed word unigram, and a subword lattice.
 
-The lattice model takes an existing subword vocabulary; its pieces' scores are
-log probabilities learned from how the vocabulary's tokenizer splits the
-training words. A word's probability is the sum over all its segmentations into
-pieces (single bytes always being pieces), by forward recursion in log space; a
-document's is the product over its words and one end.
-
-Counts cross the cluster as packed columns keyed by a range of word hashes
-(64 bits). Words that make up HOT of all tokens (so at most 1/HOT of them) are
-known to every task; entries of all others meet their counts by hash range, so
-no word gathers more than that share in one task.
-
-Defined results: null text is empty, with the end as its only token; rows
-without an id count as id ''; without training rows every count is 0; repeated
-rows are scored each on their own; an empty table gives no rows.
+The lattice model takes an existing subword vocabulary. Its pieces start with
+the vocabulary's own scores (ranks, as odds) and are then fitted: in each of
+PASSES passes over all distinct training words, forward and backward recursion
+give every piece's expected count over all segmentations, and the counts, added
+up over the corpus, are the next scores. A word's probability is the sum over
+all its segmentations into pieces (single bytes always being pieces), by forward
+recursion in log space; a document's is the product over its words and one end.
+
+Words cross the cluster as packed columns keyed by a range of word hashes (64
+bits): each range holds its distinct words with their training counts, and
+fits and scores each of them once. Words that make up HOT of all tokens (so at
+most 1/HOT of them) are known to every task; entries of all others meet their
+counts and scores by range, so no word gathers more than that share in one task.
+
+Defined results: null text is empty, with the end as its only token; ids are
+integers, and rows without one count as id ''; without training rows every count
+is 0; repeated rows are scored each on their own; extra columns are left alone,
+whatever their names; an empty table gives no rows. A text of any length is
+scored whole, and so is a word: one longer than LONG bytes is scored by the same
+recursion position by position, and fitted in stretches of LONG bytes.
 """
 
 from __future__ import annotations
@@ -24,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import U, by_bucket, chunks, packed, prefix_hash, span_hash, texts_of, unpacked, words_of
-from .common import only, partitions, written
+from .common import consecutive, dropped, only, partitions, written
 
-GROUP = 12 << 20
+GROUP = 4 << 20
 HOT = 1e-4
 SMOOTH = 0.1
+PASSES = 4
+LONG = 64
+#: Expected counts are added as whole multiples of this, so that their sum has no order.
+GRAIN = 2.0**-20
 
 
 def _hashes(a, start, end, block=2 << 20):
@@ -55,99 +65,83 @@ def _bucket(h, n):
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
+_KINDS = {"bucket": pa.int32(), "n": pa.int64(), "m": pa.int64(), "blob": pa.binary(), "kind": pa.int32(), "gid": pa.int64()}
+
+
 def _batch(schema, rows):
-    kinds = {"bucket": pa.int32(), "n": pa.int64(), "m": pa.int64(), "blob": pa.binary(), "kind": pa.int32(), "gid": pa.int64()}
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cols, schema, strict=True)], schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, schema, strict=True)], schema)
 
 
-def _counter(model_path: str, n_buckets: int):
-    """Training counts: rows of bucket (word hashes, counts), and of bucket -1 (piece counts; n: words, m: documents)."""
+_COUNTS, _ENTRIES = ["bucket", "n", "m", "blob"], ["kind", "bucket", "gid", "blob"]
+_COUNTS_SQL, _ENTRIES_SQL = "bucket int, n long, m long, blob binary", "kind int, bucket int, gid long, blob binary"
 
-    def run(batches):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        size = model.get_piece_size()
-        for _, texts in _groups(batches, ["doc_id"]):
-            a, start, end, _doc = words_of(texts)
-            u, first, n = np.unique(_hashes(a, start, end), return_index=True, return_counts=True)
-            raw, pieces = a.tobytes(), np.zeros(size)
-            for i in range(0, len(u), 20_000):
-                k = first[i : i + 20_000]
-                split = model.encode([raw[s:e].decode("utf-8") for s, e in zip(start[k], end[k], strict=True)], num_threads=1)
-                ids = np.fromiter((x for s in split for x in s), np.int64)
-                pieces += np.bincount(ids, np.repeat(n[i : i + 20_000], [len(s) for s in split]), size)
-            rows = [(b, 0, 0, packed(*c)) for b, c in by_bucket(_bucket(u, n_buckets), u, n.astype("<i8"))]
-            rows.append((-1, len(start), len(texts), packed(pieces)))
-            yield _batch(["bucket", "n", "m", "blob"], rows)
 
-    return run
+def _gathered(raw, start, size):
+    """The bytes of all ranges, one after the other."""
+    skip = np.cumsum(size) - size
+    return raw[np.arange(int(size.sum())) + np.repeat(start - skip, size)]
 
 
-def _summed(parts):
-    h, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
-    u, back = np.unique(h, return_inverse=True)
-    return u, np.bincount(back, n, len(u)).astype("<i8") if len(u) else np.zeros(0, "<i8")
+def _counter(n_buckets: int):
+    """Distinct words of each group by bucket: hashes, training counts, sizes, bytes; and a row of bucket -1 with the training words (n) and documents (m)."""
 
+    def run(batches):
+        for (held,), texts in _groups(batches, ["held_out"]):
+            a, start, end, doc = words_of(texts)
+            train = ~np.array(held.to_pylist(), bool)
+            u, first, back = np.unique(_hashes(a, start, end), return_index=True, return_inverse=True)
+            n = np.bincount(back, train[doc], len(u)).astype("<i8")
+            size = end[first] - start[first]
+            rows = [(-1, int(train[doc].sum()), int(train.sum()), b"")]
+            for b, (h, c, s, z) in by_bucket(_bucket(u, n_buckets), u, n, start[first], size):
+                rows.append((b, 0, 0, packed(h, c, z.astype("<i4"), _gathered(a, s, z))))
+            yield _batch(_COUNTS, rows)
 
-def _by_key(batches, key):
-    """Rows of a whole partition by their key, which no other partition has."""
-    found: dict[int, list] = {}
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        at = batch.schema.get_field_index(key)
-        for row in zip(*cols, strict=True):
-            found.setdefault(row[at], []).append(row)
-    return found
+    return run
 
 
 def _merge_counts(batches):
-    for bucket, rows in _by_key(batches, "bucket").items():
-        u, n = _summed([unpacked(r[-1]) for r in rows])
-        yield _batch(["bucket", "n", "m", "blob"], [(bucket, len(u), int(n.max(initial=0)), packed(u, n))])
+    """Each bucket's distinct words; n: how many of them are in training texts, m: the largest count."""
+    for bucket, rows in consecutive(batches, "bucket"):
+        h, n, size, raw = (np.concatenate(c) for c in zip(*(unpacked(r[-1]) for r in rows), strict=True))
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(back, n, len(u)).astype("<i8")
+        size = size.astype(np.int64)
+        start = np.cumsum(size) - size
+        yield _batch(_COUNTS, [(bucket, int((n > 0).sum()), int(n.max(initial=0)), packed(u, n, size[first].astype("<i4"), _gathered(raw, start[first], size[first])))])
 
 
 def _hot_words(least: float):
     def run(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                u, n = unpacked(blob)
+                u, n, score = unpacked(blob)
                 hot = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(u[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[hot].view(np.int64)), pa.array(n[hot].astype(np.int64)), pa.array(score[hot])], ["h", "c", "lp"])
 
     return run
 
 
 class Lattice:
-    """Forward recursion over all segmentations of words, vectorized over words of equal length."""
-
-    LONG = 64
+    """Recursions over all segmentations of words into pieces, vectorized over words of equal length."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        best: dict[bytes, float] = {}
-        for p, lp in zip(pieces, logp, strict=True):
-            best[p] = np.logaddexp(best[p], lp) if p in best else lp
-        self.direct = best
-        self.longest = max(map(len, best))
-        nodes = dict.fromkeys((p[:k] for p in best for k in range(1, len(p) + 1)), -np.inf)
-        nodes.update(best)
-        self.lp = np.fromiter(nodes.values(), np.float64, len(nodes))
-        seed = 41
-        while not self._placed(nodes, seed):
-            seed += 1
-
-    def _placed(self, nodes, seed: int) -> bool:
-        """Two tables: what collides in the first goes to the second; another seed is tried if that fails."""
-        self.symbol = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+        nodes = dict.fromkeys(pieces)
+        self.n_pieces, self.longest = len(nodes), max(map(len, pieces))
+        nodes.update(dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p))))
+        self.lp = np.full(len(nodes), -np.inf)  # a mere beginning of pieces has none
+        place = {p: i for i, p in enumerate(nodes)}
+        np.logaddexp.at(self.lp, [place[p] for p in pieces], logp)
+        self.symbol = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
         self.keys = np.fromiter((self._hash(p) for p in nodes), U, len(nodes))
-        self.first, self.second = np.full(1 << 21, -1, np.int32), np.full(1 << 20, -1, np.int32)
-        a, b = self._slots(self.keys)
-        index = np.arange(len(self.keys), dtype=np.int32)
-        self.first[a[::-1]] = index[::-1]
-        rest = index[self.first[a] != index]
-        self.second[b[rest]] = rest
-        return bool((self.second[b[rest]] == rest).all())
+        self.table = np.full(1 << (16 * len(nodes)).bit_length(), -1, np.int32)
+        left, step = np.arange(len(nodes), dtype=np.int32), 0
+        while len(left):  # what finds its slot taken tries the next one
+            at = self._slot(self.keys[left], step)
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            left, step = left[self.table[at] != left], step + 1
 
     def _hash(self, p: bytes) -> int:
         h = 0
@@ -155,87 +149,147 @@ class Lattice:
             h = (h * 0x9E3779B97F4A7C15 + int(self.symbol[b])) & (2**64 - 1)
         return h
 
-    @staticmethod
-    def _slots(h):
-        m = h ^ (h >> U(29))
-        m = m * U(0xBF58476D1CE4E5B9)
-        return (m >> U(43)).astype(np.int64), ((m >> U(20)) & U((1 << 20) - 1)).astype(np.int64)
+    def _slot(self, h, step: int):
+        m = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+        return ((m >> U(32)).astype(np.int64) + step) & (len(self.table) - 1)
 
     def _find(self, h):
-        a, b = self._slots(h)
-        at = self.first[a]
-        miss = (at < 0) | (self.keys[at] != h)
-        if miss.any():
-            other = self.second[b[miss]]
-            other[(other < 0) | (self.keys[other] != h[miss])] = -1
-            at[miss] = other
+        """Number of the node of each hash, or -1."""
+        at = self.table[self._slot(h, 0)]
+        wrong, step = np.flatnonzero((at >= 0) & (self.keys[at] != h)), 1
+        while len(wrong):
+            at[wrong] = self.table[self._slot(h[wrong], step)]
+            wrong = wrong[(at[wrong] >= 0) & (self.keys[at[wrong]] != h[wrong])]
+            step += 1
         return at
 
-    def equal_length(self, words: np.ndarray) -> np.ndarray:
-        """Natural-log probability of each row of bytes."""
+    def _matches(self, words: np.ndarray):
+        """(first, last + 1, rows, nodes) of the pieces in rows of bytes, first to last position."""
         n, length = words.shape
-        alpha = np.full((length + 1, n), -np.inf)
-        alpha[0] = 0
         sym = self.symbol[words.T]
-        step = U(0x9E3779B97F4A7C15)
+        every, zero = np.arange(n), np.zeros(n, U)
         for i in range(length):
-            act, h = np.arange(n), np.zeros(n, U)
+            act, h = every, zero
             for j in range(i, min(length, i + self.longest)):
-                h = h * step + sym[j, act]
+                h = h * U(0x9E3779B97F4A7C15) + sym[j, act]
                 at = self._find(h)
                 ok = at >= 0
                 if not ok.all():
                     act, h, at = act[ok], h[ok], at[ok]
                     if not len(act):
                         break
-                alpha[j + 1, act] = np.logaddexp(alpha[j + 1, act], alpha[i, act] + self.lp[at])
+                whole = at < self.n_pieces
+                yield (i, j + 1, act, at) if whole.all() else (i, j + 1, act[whole], at[whole])
+
+    def equal_length(self, words: np.ndarray) -> np.ndarray:
+        """Natural-log probability of each row of bytes."""
+        n, length = words.shape
+        alpha = np.full((length + 1, n), -np.inf)
+        alpha[0] = 0
+        for i, j, act, at in self._matches(words):
+            alpha[j, act] = np.logaddexp(alpha[j, act], alpha[i, act] + self.lp[at])
         return alpha[length]
 
+    def _counted(self, words: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """Add to total the expected count of every piece over all segmentations of the rows."""
+        n, length = words.shape
+        alpha, beta = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+        alpha[0] = beta[length] = 0
+        found = list(self._matches(words))
+        for i, j, act, at in found:
+            alpha[j, act] = np.logaddexp(alpha[j, act], alpha[i, act] + self.lp[at])
+        for i, j, act, at in reversed(found):
+            onward = self.lp[at] + beta[j, act]
+            share = weight[act] * np.exp(alpha[i, act] + onward - alpha[length, act])
+            total += np.bincount(at, share, len(total))[: len(total)]
+            beta[i, act] = np.logaddexp(beta[i, act], onward)
+
     def one(self, word: bytes) -> float:
-        """The same for a single word, however long."""
-        alpha = np.full(len(word) + 1, -np.inf)
-        alpha[0] = 0
-        for j in range(1, len(word) + 1):
-            terms = [alpha[i] + lp for i in range(max(0, j - self.longest), j) if (lp := self.direct.get(word[i:j])) is not None]
-            alpha[j] = np.logaddexp.reduce(terms) if terms else -np.inf
-        return float(alpha[-1])
-
-    def words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log probability of raw[start:end] behind one blank, the mark of a word's start."""
-        size, out = end - start, np.empty(len(start))
-        if not len(start):
-            return out
+        """The same as equal_length for a single word, however long: its pieces are found for all places at once."""
+        sym, n = self.symbol[np.frombuffer(word, np.uint8)], len(word)
+        begin, h, ends, at_ = np.arange(n), np.zeros(n, U), [], []
+        for k in range(self.longest):
+            ok = begin + k < n
+            begin, h = begin[ok], h[ok] * U(0x9E3779B97F4A7C15) + sym[begin[ok] + k]
+            at = self._find(h)
+            ok = at >= 0
+            begin, h = begin[ok], h[ok]
+            if not len(begin):
+                break
+            whole = at[ok] < self.n_pieces
+            ends.append(np.stack((begin[whole] + k + 1, begin[whole])))
+            at_.append(at[ok][whole])
+        ends, lp = np.concatenate(ends, 1), self.lp[np.concatenate(at_)]
+        order = np.argsort(ends[0], kind="stable")
+        top = 1e200
+        p, alpha, shift = np.exp(lp[order]).tolist(), [top] + [0.0] * n, -np.log(top)
+        for x, (j, i) in enumerate(ends[:, order].T.tolist()):
+            alpha[j] += alpha[i] * p[x]
+            if j % 8 == 0 and alpha[j] < 1e100:
+                window = range(max(0, j - self.longest), j + 1)
+                most = max(alpha[y] for y in window)
+                if most < 1e100:  # what is still needed moves up together, its logarithm kept apart
+                    shift += np.log(most / top)
+                    for y in window:
+                        alpha[y] *= top / most
+        return float(np.log(alpha[n]) + shift)
+
+    def _by_length(self, raw, start, size):
+        """(indices, rows of bytes behind a blank) of words of one length, some 400,000 places at a time."""
         order = np.argsort(size, kind="stable")
         edge = np.flatnonzero(np.diff(size[order], prepend=-1))
         for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
-            k, length = order[s:e], int(size[order[s]])
-            if length > self.LONG:
-                for i in k:
-                    out[i] = self.one(b" " + raw[start[i] : end[i]].tobytes())
-                continue
-            for c in range(0, len(k), 50_000):
-                part = k[c : c + 50_000]
-                m = np.full((len(part), length + 1), 32, np.uint8)
-                m[:, 1:] = raw[start[part][:, None] + np.arange(length)]
-                out[part] = self.equal_length(m)
+            length = int(size[order[s]])
+            step = max(1, 400_000 // (length + 1))
+            for c in range(s, e, step):
+                k = order[c : min(e, c + step)]
+                yield k, raw[start[k][:, None] + np.arange(length)]
+
+    def words(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log probability of each raw[start : start + size] behind one blank, the mark of a word's start."""
+        out = np.empty(len(start))
+        short = np.flatnonzero(size <= LONG)
+        for k, rows in self._by_length(raw, start[short], size[short]):
+            out[short[k]] = self.equal_length(np.pad(rows, ((0, 0), (1, 0)), constant_values=32))
+        for i in np.flatnonzero(size > LONG):
+            out[i] = self.one(b" " + raw[start[i] : start[i] + size[i]].tobytes())
         return out
 
-
-def vocabulary(model_path: str) -> tuple[list[int], list[bytes]]:
-    """(ids, bytes) of a sentencepiece model's pieces; the word mark is a blank, byte pieces are their byte."""
+    def expected(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Expected count of every piece in all words behind a blank; of long words, in their stretches."""
+        total = np.zeros(self.n_pieces)
+        short = np.flatnonzero(size <= LONG)
+        for k, rows in self._by_length(raw, start[short], size[short]):
+            self._counted(np.pad(rows, ((0, 0), (1, 0)), constant_values=32), count[short[k]].astype(float), total)
+        for i in np.flatnonzero(size > LONG):
+            cut = np.arange(start[i], start[i] + size[i], LONG)
+            for k, rows in self._by_length(raw, cut, np.minimum(LONG, start[i] + size[i] - cut)):
+                self._counted(rows, np.full(len(k), float(count[i])), total)
+        return total
+
+
+def vocabulary(model_path: str) -> tuple[list[bytes], np.ndarray]:
+    """A sentencepiece model's pieces as bytes (the word mark is a blank, byte pieces are their byte) and their natural-log scores.
+
+    A byte-pair model has ranks for scores; a piece's odds are one over its rank,
+    a byte's those of the last rank. Equal pieces are one.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    ids, out = [], []
+    odds: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
         if model.is_byte(i):
-            out.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            piece, own = bytes([int(model.id_to_piece(i)[3:5], 16)]), 1 / model.get_piece_size()
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             continue
         else:
-            out.append(model.id_to_piece(i).replace("▁", " ").encode())
-        ids.append(i)
-    return ids, out
+            piece, own = model.id_to_piece(i).replace("▁", " ").encode(), 1 / (2 + abs(model.get_score(i)))
+        odds[piece] = odds.get(piece, 0) + own
+    for b in range(256):
+        odds.setdefault(bytes([b]), 1 / model.get_piece_size())
+    p = np.fromiter(odds.values(), np.float64, len(odds))
+    return list(odds), np.log(p / p.sum())
 
 
 def piece_scores(counts: np.ndarray, n_end: int) -> tuple[np.ndarray, float]:
@@ -247,25 +301,83 @@ def piece_scores(counts: np.ndarray, n_end: int) -> tuple[np.ndarray, float]:
 _lattices: dict = {}
 
 
-def _scorer(model_path: str, logp: np.ndarray, log_end: float, hot_h: np.ndarray, hot_c: np.ndarray, n_buckets: int):
-    """Rows of kind 0 (a group's documents) and kind 1 (a group's entries of one bucket)."""
+def _lattice(pieces: list[bytes], logp: np.ndarray) -> Lattice:
+    """The worker's own lattice of these scores, which its later tasks use, too."""
+    key = logp.tobytes()
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(pieces, logp)
+    return _lattices[key]
+
+
+def _fitter(pieces, logp):
+    def run(batches):
+        lattice, total = _lattice(pieces, logp), np.zeros(len(pieces), "<i8")
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                _, n, size, raw = unpacked(blob)
+                size, seen = size.astype(np.int64), n > 0
+                own = lattice.expected(raw, (np.cumsum(size) - size)[seen], size[seen], n[seen])
+                total += np.rint(own / GRAIN).astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["blob"])
+
+    return run
+
+
+def _added(size: int):
+    def run(batches):
+        total = np.zeros(size, "<i8")
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                total += unpacked(blob)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["blob"])
+
+    return run
+
+
+def fitted(merged: DataFrame, pieces: list[bytes], logp: np.ndarray, n_end: int, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """Scores of the pieces and of the end after `passes` passes of expected counts over merged words.
+
+    What comes to the driver is one vector as long as the vocabulary from each of 16 tasks.
+    """
+    end = float(np.log(SMOOTH))
+    for _ in range(max(1, passes)):
+        got = merged.select("blob").mapInArrow(_fitter(pieces, logp), "blob binary")
+        got = got.coalesce(16).mapInArrow(_added(len(pieces)), "blob binary").collect()
+        total = sum((unpacked(r["blob"])[0] for r in got), np.zeros(len(pieces), "<i8"))
+        logp, end = piece_scores(total * GRAIN, n_end)
+    return logp, end
+
+
+def _word_scorer(pieces, logp):
+    """Each bucket's words, with hashes, counts and log probabilities in place of their bytes."""
+
+    def run(batches):
+        lattice = _lattice(pieces, logp)
+        for batch in batches:
+            for bucket, n, m, blob in zip(*(batch.column(c).to_pylist() for c in _COUNTS), strict=True):
+                u, c, size, raw = unpacked(blob)
+                size = size.astype(np.int64)
+                yield _batch(_COUNTS, [(bucket, n, m, packed(u, c, lattice.words(raw, np.cumsum(size) - size, size)))])
+
+    return run
+
+
+def _entries(hot_h: np.ndarray, hot_c: np.ndarray, hot_lp: np.ndarray, n_buckets: int):
+    """Rows of kind 0 (a group's documents, with the sums over hot words) and kind 1 (a group's entries of one bucket)."""
 
     def run(batches):
-        key = (model_path, logp.tobytes())
-        if key not in _lattices:
-            _lattices.clear()
-            _lattices[key] = Lattice(vocabulary(model_path)[1], logp)
-        lattice = _lattices[key]
         for (rid, ids, held), texts in _groups(batches, ["rid", "doc_id", "held_out"]):
             a, start, end, doc = words_of(texts)
-            u, first, back = np.unique(_hashes(a, start, end), return_index=True, return_inverse=True)
+            u, back = np.unique(_hashes(a, start, end), return_inverse=True)
             n = len(texts)
-            score = np.bincount(doc, lattice.words(a, start[first], end[first])[back], n) + log_end
             at = np.minimum(np.searchsorted(hot_h, u), max(0, len(hot_h) - 1))
             hot = hot_h[at] == u if len(hot_h) else np.zeros(len(u), bool)
             here = hot[back]
-            known = np.bincount(doc[here], minlength=n)
-            base = np.bincount(doc[here], np.log10(hot_c[at[back[here]]] + SMOOTH) if here.any() else None, n)
+            h_doc, h_at = doc[here], at[back[here]]
+            known = np.bincount(h_doc, minlength=n)
+            base = np.bincount(h_doc, np.log10(hot_c[h_at] + SMOOTH) if len(h_at) else None, n)
+            score = np.bincount(h_doc, hot_lp[h_at] if len(h_at) else None, n)
             words = np.bincount(doc, minlength=n)
             pair, tf = np.unique(doc[~here] * len(u) + back[~here], return_counts=True)
             gid = int(rid[0].as_py())
@@ -280,70 +392,77 @@ def _scorer(model_path: str, logp: np.ndarray, log_end: float, hot_h: np.ndarray
             for b, (d, w, t) in by_bucket(_bucket(u[p_word], n_buckets), p_doc, p_word, tf):
                 few, local = np.unique(w, return_inverse=True)
                 rows.append((1, b, gid, packed(u[few], local.astype("<i4"), d.astype("<i4"), t.astype("<i4"))))
-            yield _batch(["kind", "bucket", "gid", "blob"], rows)
+            yield _batch(_ENTRIES, rows)
 
     return run
 
 
 def _look_up(batches):
-    """Entries meet the counts of their bucket: (gid, sums by document)."""
-    for rows in _by_key(batches, "bucket").values():
-        h, c = _summed([unpacked(r[3]) for r in rows if r[0] == 2])
+    """Entries meet the words of their bucket, which come first (kind 0): rows of kind 1 with a group's sums by document."""
+    at = None
+    h, c, lp = np.zeros(0, U), np.zeros(0), np.zeros(0)
+    for batch in batches:
         out = []
-        for kind, _, gid, blob in rows:
-            if kind != 1:
+        for kind, bucket, gid, blob in zip(*(batch.column(x).to_pylist() for x in _ENTRIES), strict=True):
+            if kind == 0:
+                at, (h, c, lp) = bucket, unpacked(blob)
                 continue
+            if bucket != at:
+                raise ValueError("entries without the words of their bucket")
             u, local, doc, tf = unpacked(blob)
-            at = np.minimum(np.searchsorted(h, u), max(0, len(h) - 1))
-            count = np.where(h[at] == u, c[at], 0) if len(h) else np.zeros(len(u), np.int64)
+            k = np.searchsorted(h, u)
             d, back = np.unique(doc, return_inverse=True)
-            base = np.bincount(back, tf * np.log10(count + SMOOTH)[local], len(d))
-            known = np.bincount(back, tf * (count > 0)[local], len(d))
-            out.append((1, 0, gid, packed(d.astype("<i4"), base.astype("<f8"), known.astype("<i4"))))
-        yield _batch(["kind", "bucket", "gid", "blob"], out)
+            base = np.bincount(back, tf * np.log10(c[k] + SMOOTH)[local], len(d))
+            known = np.bincount(back, tf * (c[k] > 0)[local], len(d))
+            score = np.bincount(back, tf * lp[k][local], len(d))
+            out.append((1, bucket, gid, packed(d.astype("<i4"), known.astype("<i4"), base.astype("<f8"), score.astype("<f8"))))
+        yield _batch(_ENTRIES, out)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
 def _join_sums(batches):
-    for rows in _by_key(batches, "gid").values():
-        ids, null, held, words, known, base, score = unpacked(next(r[3] for r in rows if r[0] == 0))
-        known, base = known.copy(), base.copy()
-        # in a fixed order, so that reruns give the same sums to the last bit
-        for d, b, k in sorted((unpacked(r[3]) for r in rows if r[0] == 1), key=lambda x: (len(x[0]), x[1].tobytes())):
-            base[d] += b
+    """Partitions in order of group, kind and bucket: so the sums have one order, and reruns agree to the last bit."""
+    for _, rows in consecutive(batches, "gid"):
+        ids, null, held, words, known, base, score = unpacked(rows[0][3])
+        known, base, score = known.copy(), base.copy(), score.copy()
+        for r in rows[1:]:
+            d, k, b, s = unpacked(r[3])
             known[d] += k
+            base[d] += b
+            score[d] += s
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(words + 1), pa.array(known), pa.array(base), pa.array(score / np.log(10))],
+            [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(words + 1), pa.array(known), pa.array(base), pa.array(score)],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score"],
         )
 
 
-def score_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT) -> DataFrame:
+def score_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, passes: int = PASSES) -> DataFrame:
     """Learns from the documents outside the held-out tenth and scores all of them."""
     spark = df.sparkSession
-    n = partitions(spark)
+    n = partitions(spark, df.select(f"`{text_col}`"))
     d = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
     d = d.withColumn("rid", F.monotonically_increasing_id())
-    raw = written(d.where(~F.col("held_out")).select("doc_id", "text").mapInArrow(_counter(model_path, n), "bucket int, n long, m long, blob binary"))
-    ids, pieces = vocabulary(model_path)
-    whole = _piece_total(raw, max(ids) + 1)
+    raw = written(d.select("held_out", "text").mapInArrow(_counter(n), _COUNTS_SQL))
     totals = raw.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     n_train, n_docs = totals["n"] + totals["m"], totals["m"]
-    merged = written(raw.where("bucket >= 0").repartition(n, "bucket").mapInArrow(_merge_counts, "bucket int, n long, m long, blob binary"))
+    merged = written(raw.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_counts, _COUNTS_SQL))
+    dropped(raw)
     n_distinct = (merged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()["v"]) + (1 if n_docs else 0)
+    logp, log_end = fitted(merged, *(model := vocabulary(model_path)), n_docs, passes)
+    words = written(merged.mapInArrow(_word_scorer(model[0], logp), _COUNTS_SQL))
+    dropped(merged)
     least = max(2.0, hot * n_train)  # so that at most 1 / hot words are collected
-    hot_rows = merged.where(F.col("m") >= least).mapInArrow(_hot_words(least), "h long, c long").collect() if n_train >= 1 / hot else []
+    hot_rows = words.where(F.col("m") >= least).mapInArrow(_hot_words(least), "h long, c long, lp double").collect() if n_train >= 1 / hot else []
     hot_h = np.array([r["h"] for r in hot_rows], np.int64).view(U)
     order = np.argsort(hot_h)
-    hot_h, hot_c = hot_h[order], np.array([r["c"] for r in hot_rows], np.int64)[order]
-    logp, log_end = piece_scores(whole[ids], n_docs)
-    scored = written(d.mapInArrow(_scorer(model_path, logp, log_end, hot_h, hot_c, n), "kind int, bucket int, gid long, blob binary"))
-    counts = merged.select(F.lit(2).alias("kind"), "bucket", F.lit(0).cast("long").alias("gid"), "blob")
-    looked = scored.where("kind = 1").unionByName(counts).repartition(n, "bucket").mapInArrow(_look_up, "kind int, bucket int, gid long, blob binary")
-    sums = scored.where("kind = 0").unionByName(looked).repartition(n, "gid").mapInArrow(_join_sums, _SCORES)
+    hot_c, hot_lp = (np.array([r[x] for r in hot_rows], np.float64)[order] for x in ("c", "lp"))
+    entries = written(d.mapInArrow(_entries(hot_h[order], hot_c, hot_lp, n), _ENTRIES_SQL))
+    counts = words.select(F.lit(0).alias("kind"), "bucket", F.lit(0).cast("long").alias("gid"), "blob")
+    looked = entries.where("kind = 1").unionByName(counts).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_look_up, _ENTRIES_SQL)
+    sums = entries.where("kind = 0").unionByName(looked).repartition(n, "gid").sortWithinPartitions("gid", "kind", "bucket").mapInArrow(_join_sums, _SCORES)
     log_all = float(np.log10(n_train + SMOOTH * (n_distinct + 1)))
     end = float(np.log10(n_docs + SMOOTH))
     return sums.select(
@@ -353,21 +472,5 @@ def score_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text
         (F.col("n_known") + (1 if n_docs else 0)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_sum") + end - F.col("n_tokens") * log_all).alias("base_score"),
-        "score",
+        ((F.col("score") + log_end) / float(np.log(10))).alias("score"),
     )
-
-
-def _piece_total(raw: DataFrame, size: int) -> np.ndarray:
-    """Sum of the tasks' piece counts: fixed-size vectors, added on the executors first."""
-
-    def run(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                x = unpacked(blob)[0]
-                total[: len(x)] += x
-        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["blob"])
-
-    got = raw.where("bucket < 0").select("blob").mapInArrow(run, "blob binary")
-    got = got.coalesce(16).mapInArrow(run, "blob binary")
-    return sum((unpacked(r["blob"])[0] for r in got.collect()), np.zeros(size))
