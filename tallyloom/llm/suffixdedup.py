@@ -16,7 +16,9 @@ equal anchors at equal places, and only anchors cross the cluster at first
    windows.
 3. Bytes covered by a window that a smaller document also has are removed.
 
-A hot passage reaches a bucket once from each group, not once from each document.
+A hot passage reaches a bucket once from each group, not once from each document;
+of anchors that very many groups have, each window is sent by itself, to a bucket
+that its first bytes choose, so the first digit's pass is done by the shuffle.
 
 Defined results: null text is empty; rows without an id count as one document
 that comes after all others, and rows of equal id as one document (windows they
@@ -32,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import U, by_bucket, chunks, mixed, packed, powers, prefix_hash, span_hash, texts_of, unpacked
-from .common import partitions, ship, written
-from .lmscore import _by_key
+from .common import consecutive, dropped, partitions, ship, written
 
 DEPTH, GRAM, GROUP = 50, 28, 4 << 20
+#: An anchor that so many groups have sends single windows, spread by their first bytes, in place of runs.
+HOT_GROUPS = 1000
 _LAST = np.iinfo(np.int64).max
 _LOW = U((1 << 40) - 1)
 
@@ -135,17 +138,18 @@ def _send_anchors(n, depth, gram):
     return run
 
 
-def _find_repeats(batches):
-    """One bit for each anchor that a group has sent: do other groups have it?"""
-    for bucket, rows in _by_key(batches, "bucket").items():
-        parts = [_wide(*unpacked(r[3])) for r in rows]
-        x, n = np.unique(np.concatenate(parts), return_counts=True)
-        x = x[n > 1]
-        out = []
-        for r, own in zip(rows, parts, strict=True):
-            at = np.minimum(np.searchsorted(x, own), max(0, len(x) - 1))
-            out.append((1, bucket, r[2], packed(np.packbits(x[at] == own if len(x) else np.zeros(len(own), bool)))))
-        yield _rows(out)
+def _find_repeats(hot_groups):
+    """Two bits for each anchor that a group has sent: do other groups have it, and do very many?"""
+
+    def run(batches):
+        for bucket, rows in consecutive(batches, "bucket"):
+            parts = [_wide(*unpacked(r[3])) for r in rows]
+            x, n = np.unique(np.concatenate(parts), return_counts=True)
+            for r, own in zip(rows, parts, strict=True):
+                have = n[np.searchsorted(x, own)]
+                yield _rows([(1, bucket, r[2], packed(np.packbits(have > 1), np.packbits(have >= hot_groups)))])
+
+    return run
 
 
 def _ragged(start, size):
@@ -158,22 +162,34 @@ def _send_runs(n, depth, gram):
     """For each group: its runs (kind 3), and for each bucket its distinct repeated runs with their bytes (kind 2)."""
 
     def run(batches):
-        for gid, rows in _by_key(batches, "gid").items():
+        for gid, rows in consecutive(batches, "gid"):
             ids, size, raw = unpacked(next(r[3] for r in rows if r[0] == 0))
             doc, start, many, place, key = anchors(raw, size, depth, gram)
             where = _address(key, n)
             x, back = np.unique(where, return_inverse=True)
-            alive = np.zeros(len(x), bool)
+            alive, hot = np.zeros(len(x), bool), np.zeros(len(x), bool)
             b = (x >> U(40)).astype(np.int64)
             for _, bucket, _, blob in (r for r in rows if r[0] == 1):
                 s, e = np.searchsorted(b, [bucket, bucket + 1])
-                alive[s:e] = np.unpackbits(unpacked(blob)[0])[: e - s].astype(bool)
+                alive[s:e], hot[s:e] = (np.unpackbits(bits)[: e - s].astype(bool) for bits in unpacked(blob))
             # what two documents of the group share repeats, too
             low, high = np.full(len(x), _LAST), np.full(len(x), np.iinfo(np.int64).min)
             np.minimum.at(low, back, ids[doc])
             np.maximum.at(high, back, ids[doc])
-            keep = (alive | (low < high))[back]
-            doc, start, many, place, where, key = doc[keep], start[keep], many[keep], place[keep], where[keep], key[keep]
+            keep, hot = (alive | (low < high))[back], hot[back]
+            single = np.repeat(np.flatnonzero(keep & hot), many[keep & hot])
+            step = _ragged(np.zeros(int((keep & hot).sum()), np.int64), many[keep & hot])
+            at = np.concatenate((np.flatnonzero(keep & ~hot), single))
+            first, n_windows = start[at], many[at].copy()
+            first[len(at) - len(single) :] += step
+            n_windows[len(at) - len(single) :] = 1
+            doc, start, many, place, where, key = doc[at], first, n_windows, place[at], where[at], key[at]
+            if len(single):  # their bucket follows from the key, its place, and the first eight bytes beside it
+                k = np.arange(len(at) - len(single), len(at))
+                off = place[k] - start[k]
+                near = np.arange(8) + np.where(np.arange(8) < off[:, None], 0, gram)
+                digit = raw[start[k][:, None] + near].view(U)[:, 0]
+                where[k] = _address(mixed(key[k] ^ mixed(digit + off.astype(U))), n)
             h = _run_hash(raw, start, start + many + depth - 1) + (place - start).astype(U) * U(0xC2B2AE3D27D4EB4F)
             # one entry for each distinct run, by key and content, of its smallest document
             order = np.lexsort((ids[doc], h, key, where))
@@ -211,20 +227,21 @@ def _run_hash(raw, start, end, block=1 << 20):
     return out
 
 
-def equal_windows(windows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Group numbers of rows of bytes that are equal and of one group; -1 for rows without an equal.
+def equal_windows(text: np.ndarray, start: np.ndarray, depth: int, group: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """Group numbers of the windows text[start : start + depth] that are equal and of one group; -1 for those without an equal.
 
-    Most-significant-digit passes: rows are ordered by eight bytes within the
-    groups of the pass before; groups of one leave.
+    Most-significant-digit passes: windows are ordered by eight bytes within the
+    groups of the pass before; groups of one leave. Only one digit of those that
+    are left is held at a time.
     """
-    n, depth = windows.shape
-    digits = np.zeros((n, -(-depth // 8) * 8), np.uint8)
-    digits[:, :depth] = windows
-    digits = digits.view(">u8")
+    n = len(start)
     alive, name = np.arange(n), np.unique(group, return_inverse=True)[1].astype(np.int64)
-    for k in range(-1, digits.shape[1]):
+    for k in range(-1, -(-depth // 8)):
         if k >= 0:
-            d = digits[alive, k].astype(U)
+            d, width = np.zeros(len(alive), U), min(8, depth - 8 * k)
+            for s in range(0, len(alive), block):
+                for byte in range(width):
+                    d[s : s + block] = (d[s : s + block] << U(8)) | text[start[alive[s : s + block]] + 8 * k + byte].astype(U)
             order = np.lexsort((d, name))
             alive, name, d = alive[order], name[order], d[order]
             step = np.ones(len(alive), bool)
@@ -245,7 +262,7 @@ def _resolve(around):
     """
 
     def run(batches):
-        for bucket, rows in _by_key(batches, "bucket").items():
+        for bucket, rows in consecutive(batches, "bucket", alone=-1):
             if bucket < 0:
                 yield _rows(rows)
                 continue
@@ -273,12 +290,9 @@ def _resolve(around):
                 # heads of keys with several distinct runs: cut into windows
                 _, back, runs = np.unique(key[head], return_inverse=True, return_counts=True)
                 cut = head[runs[back] > 1]
-                for s in _slices(key[cut], many[cut]):
-                    c = cut[s]
-                    owner = np.repeat(c, many[c])
-                    step = _ragged(np.zeros(len(c), np.int64), many[c])
-                    w = text[(start[owner] + step)[:, None] + np.arange(around)]
-                    same = equal_windows(w, mixed(key[owner] * U(64) + (off[owner] - step).astype(U)))
+                for owner, step in _window_slices(cut, key[cut], off[cut], many[cut]):
+                    group = mixed(key[owner] * U(64) + (off[owner] - step).astype(U))
+                    same = equal_windows(text, start[owner] + step, around, group)
                     hit = np.flatnonzero(same >= 0)
                     if len(hit):
                         least = np.full(int(same.max()) + 1, _LAST)
@@ -297,20 +311,28 @@ def _resolve(around):
     return run
 
 
-def _slices(key, many, most=400_000):
-    """Slices of whole keys with about `most` windows each; key is in order."""
+def _window_slices(entry, key, off, many, most=400_000):
+    """(entries, steps) of the windows of runs in order of key: whole keys with about `most` windows,
+    and of a key with more, the windows of each place of the anchor."""
     edge = np.append(np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0), len(key))
     total = np.concatenate(([0], np.cumsum(many)))
     i = 0
     while i < len(edge) - 1:
         j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + most, "right")) - 1)
-        yield slice(edge[i], edge[j])
+        s = slice(edge[i], edge[j])
+        if j == i + 1 and total[edge[j]] - total[edge[i]] > most:
+            for place in range(int((off[s] - many[s]).min()) + 1, int(off[s].max()) + 1):
+                step = off[s] - place
+                ok = (step >= 0) & (step < many[s])
+                yield entry[s][ok], step[ok]
+        else:
+            yield np.repeat(entry[s], many[s]), _ragged(np.zeros(len(many[s]), np.int64), many[s])
         i = j
 
 
 def _cut(depth):
     def run(batches):
-        for rows in _by_key(batches, "gid").values():
+        for _, rows in consecutive(batches, "gid"):
             ids, size, raw = unpacked(next(r[3] for r in rows if r[0] == 0))
             starts = np.zeros(len(raw) + 1, bool)
             for step, many, bucket, index, local in (unpacked(r[3]) for r in rows if r[0] == 3):
@@ -350,42 +372,31 @@ def _cut(depth):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def free_shuffles(spark) -> None:
-    """Let Spark drop the files of shuffles that nothing refers to any more: it does so as the driver collects its garbage."""
-    import gc
-    import time
-
-    for _ in range(2):  # what the first pass unreaches, the second collects; the cleaner works beside
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, carry: list[str] | None = None, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal, in order) and kept (the remaining bytes) of every row.
 
     With columns to carry, these come as carried_0, carried_1, ... and the kept
     bytes as text (kept_text).
     """
-    if not gram < depth <= gram + 31:
-        raise ValueError("a run's windows are kept as 32 bits")
+    if not gram + 8 <= depth <= gram + 31:
+        raise ValueError("a run's windows are kept as 32 bits, and eight bytes beside the anchor choose a bucket")
     spark = df.sparkSession
     ship(spark)
-    n = partitions(spark)
     own = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry or [])]
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid"), *own)
     written_groups = written(d.mapInArrow(_grouped, _ROW))
+    n = partitions(spark, written_groups, size=16 << 20)
     groups = written_groups.where("kind = 0")
-    known = written(groups.mapInArrow(_send_anchors(n, depth, gram), _ROW).repartition(n, "bucket").mapInArrow(_find_repeats, _ROW))
-    free_shuffles(spark)
-    runs = groups.unionByName(known).repartition(n, "gid").mapInArrow(_send_runs(n, depth, gram), _ROW)
+    sent = groups.mapInArrow(_send_anchors(n, depth, gram), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
+    known = written(sent.mapInArrow(_find_repeats(hot_groups), _ROW))
+    runs = groups.unionByName(known).repartition(n, "gid").sortWithinPartitions("gid", "kind").mapInArrow(_send_runs(n, depth, gram), _ROW)
     place = F.when(F.col("kind") == 2, F.col("bucket").cast("long")).otherwise(F.col("gid"))
-    solved = written(runs.repartition(n, place).mapInArrow(_resolve(depth - gram), _ROW))
-    free_shuffles(spark)
+    solved = written(runs.repartition(n, place).sortWithinPartitions("bucket").mapInArrow(_resolve(depth - gram), _ROW))
+    dropped(known)
     schema = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, " + (
         "kept_text string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name.startswith("carried_")) if carry else "kept binary"
     )
-    return written_groups.unionByName(solved).repartition(n, "gid").mapInArrow(_cut(depth), schema)
+    return written_groups.unionByName(solved).repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(_cut(depth), schema)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
