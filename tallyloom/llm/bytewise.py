@@ -74,6 +74,18 @@ def chunks(texts: list[bytes], size: int = CHUNK):
         yield first, len(texts)
 
 
+def slices(column, size: int = CHUNK):
+    """(first, last) row ranges of a string column of about size bytes together; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) + 1
+    total, first = np.concatenate(([0], np.cumsum(length))), 0
+    while first < len(length):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + size, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null gives an empty text."""
     import pyarrow as pa

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import U, by_bucket, chunks, packed, prefix_hash, span_hash, texts_of, unpacked, words_of
+from .bytewise import U, by_bucket, packed, prefix_hash, slices, span_hash, texts_of, unpacked, words_of
 from .common import consecutive, dropped, only, partitions, written
 
 GROUP = 4 << 20
@@ -55,10 +55,10 @@ def _hashes(a, start, end, block=2 << 20):
 def _groups(batches, columns):
     """(rows' columns, lower-case texts) of about GROUP bytes of text."""
     for batch in batches:
-        texts = [t.lower() for t in texts_of(batch.column("text"))]  # of bytes: A-Z alone
-        cols = [batch.column(c) for c in columns]
-        for first, last in chunks(texts, GROUP):
-            yield [c.slice(first, last - first) for c in cols], texts[first:last]
+        texts, cols = batch.column("text"), [batch.column(c) for c in columns]
+        for first, last in slices(texts, GROUP):
+            own = texts_of(texts.slice(first, last - first))
+            yield [c.slice(first, last - first) for c in cols], [t.lower() for t in own]  # of bytes: A-Z alone
 
 
 def _bucket(h, n):
@@ -235,12 +235,12 @@ class Lattice:
         return float(np.log(alpha[n]) + shift)
 
     def _by_length(self, raw, start, size):
-        """(indices, rows of bytes behind a blank) of words of one length, some 400,000 places at a time."""
+        """(indices, rows of bytes behind a blank) of words of one length, some 200,000 places at a time."""
         order = np.argsort(size, kind="stable")
         edge = np.flatnonzero(np.diff(size[order], prepend=-1))
         for s, e in zip(edge, [*edge[1:], len(order)], strict=True):
             length = int(size[order[s]])
-            step = max(1, 400_000 // (length + 1))
+            step = max(1, 200_000 // (length + 1))
             for c in range(s, e, step):
                 k = order[c : min(e, c + step)]
                 yield k, raw[start[k][:, None] + np.arange(length)]

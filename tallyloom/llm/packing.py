@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewise import chunks
+from .bytewise import slices
 from .common import only, partitions, written
 
 CAPACITY, END = 4096, 1
@@ -138,8 +138,8 @@ def piece_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         memory, end = _memory(tokenizer_path), array("I", [END]).tobytes()
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            encoded = (x for s, e in chunks(texts, 1 << 20) for x in memory.encode(texts[s:e]))
+            texts = batch.column("text")
+            encoded = (x for s, e in slices(texts, 1 << 20) for x in memory.encode([t or "" for t in texts.slice(s, e - s).to_pylist()]))
             for k, ids in enumerate(encoded):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):

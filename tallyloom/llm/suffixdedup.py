@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewise import U, by_bucket, chunks, mixed, packed, powers, prefix_hash, span_hash, texts_of, unpacked
+from .bytewise import U, by_bucket, mixed, packed, powers, prefix_hash, slices, span_hash, texts_of, unpacked
 from .common import consecutive, dropped, partitions, ship, written
 
 DEPTH, GRAM, GROUP = 50, 28, 4 << 20
@@ -47,12 +47,12 @@ def _grouped(batches):
     """Groups of documents of about GROUP bytes, each one row (kind 0), and a row of carried columns (kind 5)."""
     for batch in batches:
         carried = batch.select([c for c in batch.schema.names if c.startswith("carried_")])
-        texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
-        for s, e in chunks(texts, GROUP):
-            own = ids.slice(s, e - s)
+        ids = batch.column("doc_id")
+        for s, e in slices(batch.column("text"), GROUP):
+            texts, own = texts_of(batch.column("text").slice(s, e - s)), ids.slice(s, e - s)
             number = np.array([_LAST if x is None else x for x in own.to_pylist()], "<i8")
-            raw = np.frombuffer(b"".join(texts[s:e]), np.uint8)
-            size = np.fromiter(map(len, texts[s:e]), "<i8", e - s)
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            size = np.fromiter(map(len, texts), "<i8", e - s)
             gid = int(batch.column("rid")[s].as_py())
             yield _rows([(0, 0, gid, packed(number, size, raw, level=3))])
             if carried.num_columns:
