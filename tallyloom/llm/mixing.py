@@ -2,98 +2,186 @@
 
 Each source's target is its weight's share of all words, stopped at a number of
 times its own size, the excess reshared. Whole copies that a target surely needs
-go to every document; for the rest, documents are ranked by their random odds
-divided by their inclusion odds, and taken in that order until the words that
-are left are met. Random numbers are hashes of the document, so reruns agree.
-
-Defined results: null text has size 0; null is a source of its own, sorted last;
-rows without an id and repeated rows draw by a hash of id and text (equal rows
-draw alike, and are taken one by one); an empty table gives no rows.
+go to every document of the source. The rest of the target is drawn: a document's
+odds of inclusion come from its size (a long one, whose chance would make the
+words taken vary most, is the surer to be in), documents are ranked by their
+random odds divided by their inclusion odds, and a fixed number of the least is
+taken.
+
+Numbers are fixed for each class of documents of nearly equal size of a source
+(STEPS classes an octave), so that a fixed number of documents is a nearly fixed
+number of words: classes of inclusion probability 1 are taken whole first, and
+what rounding leaves over in a class goes to the next smaller one. Within a class
+the last rank taken is found in bins of the ranking value, some BIN documents
+each, so no task ranks a whole class.
+
+Random numbers are hashes of id and text, so reruns agree.
+
+Defined results: null text has size 0, and such documents get whole copies only;
+null is a source of its own, sorted last; a source without words has target 0;
+rows without an id, and repeated rows, draw by id and text, equal rows being told
+apart by a number of their own, so that each counts; very long texts count whole;
+extra columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .common import SPACE_CHARS, only, written
-
-WEIGHTS, MOST, SEED, BINS = (5.0, 2.0, 1.0), 3.0, 20_24, 1 << 12
-#: Sources are a table of the driver's; more than this many is refused.
-MOST_SOURCES = 100_000
+import math
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Targets that sum to all sizes, in proportion to weights, none above most times its size."""
-    target, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                target[i] = left * weights[i] / total
+from .common import SPACE_CHARS, only, partitions, ship, written
+
+WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3.0, 20_24
+STEPS, BIN = 16, 256
+
+
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """sizes(source, source_size) with each source's place by code point, null last, from 0.
+
+    Sources are dealt out in ranges and numbered there; only the ranges' counts
+    come to the driver, so their number has no limit.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = sizes.repartitionByRange(partitions(sizes.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt)
+    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
+    before, sum_ = {}, 0
+    for k in sorted(counts):
+        before[k], sum_ = sum_, sum_ + counts[k]
+    start = F.lit([before.get(k, 0) for k in range(max(counts, default=0) + 1)])
+    own = Window.partitionBy("_range").orderBy(*order)
+    return dealt.withColumn("place", F.row_number().over(own) - 1 + F.get(start, F.col("_range"))).drop("_range")
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
+    """Adds weight and target to sources(source, source_size, place): in proportion to weights, none above most times its size.
+
+    Sources at their most leave the sharing, round by round; each round is one
+    sum over the table, and only the level of a weight of 1 comes to the driver.
+    """
+    w = F.element_at(F.lit([float(x) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = written(sources.withColumn("weight", w))
+    most_ = F.col("source_size") * float(most)
+    level, all_ = 0.0, None
+    while True:
+        over = F.col("weight") * level > most_
+        r = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, most_)).alias("at_most"), F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
+        all_ = float(r["all"] or 0)
+        new = max(0.0, all_ - (r["at_most"] or 0.0)) / r["weights"] if r["weights"] else level
+        if new <= level:
             break
-        for i in over:
-            target[i] = most * sizes[i]
-            open_.discard(i)
-        left = float(sum(sizes)) - sum(target[i] for i in range(len(sizes)) if i not in open_)
-    return target
-
-
-def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words) and the draw u in (0, 1) of every row; other columns go."""
-    d = only(df, doc_id=id_col, source=source_col, text=text_col)
+        level = new
+    return s.withColumn("target", F.least(F.col("weight") * level, most_))
+
+
+def size_class(size: Column) -> Column:
+    """Number of the class of nearly equal sizes; -1 for no words."""
+    return F.when(size > 0, F.floor(STEPS * F.log2(size.cast("double"))).cast("int")).otherwise(-1)
+
+
+def class_numbers(classes: list[tuple[int, int, int]], rest: float) -> list[int]:
+    """How many documents to draw of each (class, documents, words), so that the words come to rest.
+
+    Inclusion probabilities are in proportion to a class's mean size, and at most
+    1: the largest classes are taken whole while theirs would be above. The words
+    that rounding to whole documents leaves over go to the next smaller class.
+    """
+    order = sorted((i for i, c in enumerate(classes) if c[2] > 0), key=lambda i: -classes[i][0])
+    mean = {i: classes[i][2] / classes[i][1] for i in order}
+    squares, left, numbers = sum(mean[i] * classes[i][2] for i in order), rest, [0] * len(classes)
+    factor = None
+    due = taken = 0.0
+    for i in order:
+        _, n, words = classes[i]
+        if factor is None and squares > 0 and left / squares * mean[i] < 1:
+            factor = left / squares
+        if factor is None:
+            left, squares = left - words, squares - mean[i] * words
+        due += words * (1.0 if factor is None else factor * mean[i])
+        numbers[i] = max(0, min(n, math.floor((min(due, rest) - taken) / mean[i] + 0.5)))
+        taken += numbers[i] * mean[i]
+    return numbers
+
+
+def _numbered(batches):
+    """(source, class, draws) of every class of sources(source, rest, classes)."""
+    for batch in batches:
+        for source, rest, classes in zip(*(batch.column(c).to_pylist() for c in ("source", "rest", "classes")), strict=True):
+            rows = [(c["class"], c["n"], c["words"]) for c in classes]
+            k, n, words = zip(*rows, strict=True)
+            draws = class_numbers(rows, rest)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([source] * len(rows), pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(draws, pa.int64())],
+                ["source", "class", "n", "words", "draws"],
+            )
+
+
+def ranking_value(u: Column, size: Column, n: Column, words: Column, draws: Column) -> Column:
+    """Random odds divided by inclusion odds, the inclusion probability being in proportion to size within its class of n documents."""
+    p = F.least(draws * size / words, F.lit(1 - 1e-9))
+    return (u / (1 - u)) / (p / (1 - p))
+
+
+def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None = None) -> DataFrame:
+    """_id, source, size (words), class, the draw u in (0, 1), a tie-break and a number for every row, with columns to carry as carried_0, ..."""
+    own = {f"carried_{i}": c for i, c in enumerate(carry or [])}
+    d = only(df, doc_id=id_col, source=source_col, text=text_col, **own)
     bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS))
     size = F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit("[\\x20\\x09-\\x0D]+")) + 1).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 12).cast("double") + 0.5) / float(2**52)
-    return d.select("doc_id", "source", size.alias("size"), u.alias("u"))
+    # a hash passes over nulls: flags keep (null, x) and (x, null) apart
+    h = F.xxhash64(F.lit(SEED), F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
+    u = (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(2**52)
+    tie = F.xxhash64(*(x for c in own for x in (F.isnull(c), F.col(c)))) if own else F.lit(0).cast("long")
+    d = d.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), u.alias("u"), tie.alias("tie"), *own)
+    return d.withColumn("class", size_class(F.col("size"))).withColumn("number", F.monotonically_increasing_id())
 
 
 def mix(table: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """Adds source_size, target, copies and taken to (doc_id, source, size, u), which is read thrice: pass a written table."""
-    spark = table.sparkSession
-    sources = table.groupBy("source").agg(F.sum("size").alias("s")).limit(MOST_SOURCES + 1).collect()
-    if len(sources) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    # Python compares strings by code point, as asked
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["s"]) for r in sources]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    rows = []
-    for r, size, target in zip(sources, sizes, targets, strict=True):
-        whole = min(int(target / size + 1e-12), int(most)) if size else 0
-        rows.append((r["source"], size, target, whole, max(0.0, target - whole * size)))
-    plan = F.broadcast(
-        spark.createDataFrame(rows, "source string, source_size long, target double, whole int, rest double")
-    )  # one row a source, at most MOST_SOURCES
-    d = table.join(plan, table["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    p = F.col("rest") / F.col("source_size")
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    # within a source p is the same for all, so the order is that of u, and a bin of u is a range of ranks
-    d = d.withColumn("rank_value", F.when(p > 0, odds)).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    bins = d.where("rest > 0").groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    # the bin of each source in which the rest is met: its documents are ranked one by one
-    edge = bins.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    edges = F.broadcast(
-        spark.createDataFrame(edge.select("source", F.col("bin").alias("edge"), "before").collect(), "source string, edge int, before long")
-    )  # one row a source at most
-    d = d.join(edges, d["source"].eqNullSafe(edges["source"]), "left").drop(edges["source"])
-    inner = d["bin"] == F.col("edge")
-    run = Window.partitionBy("source", "bin").orderBy("rank_value", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = d.where(inner).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    # the last one is taken if that brings the words nearer to the target
-    at_edge = at_edge.withColumn("extra", F.col("ahead") + F.col("size") / 2 <= F.col("rest")).drop("ahead")
-    rest = d.where(~F.coalesce(inner, F.lit(False))).withColumn(
-        "extra", (F.col("rest") > 0) & F.coalesce(F.col("bin") < F.col("edge"), F.lit(False))
-    )
-    return (
-        rest.unionByName(at_edge)
-        .withColumn("copies", F.col("whole") + F.col("extra").cast("int"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("edge", "before", "bin", "extra", "whole", "rest")
-    )
+    """Adds source_size, target, copies and taken to sized() rows, which are read thrice: pass a written table."""
+    narrow = table.select("doc_id", "source", "size", "class", "u", "tie", "number")
+    classes = written(narrow.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    sources = with_targets(ranked_sources(sizes), weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
+    sources = sources.withColumn("whole", F.least(whole, F.lit(int(most))))
+    sources = written(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    # a source has some STEPS classes for each doubling of its longest text, at any number of rows
+    of_source = classes.groupBy("source").agg(F.collect_list(F.struct("class", "n", "words")).alias("classes"))
+    same = of_source["source"].eqNullSafe(sources["source"])
+    ship(table.sparkSession)
+    drawn = of_source.join(sources.select("source", "rest"), same).select(of_source["source"], "rest", "classes").mapInArrow(_numbered, "source string, class int, n long, words long, draws long")
+    drawn = written(drawn)
+    plan = drawn.join(sources.drop("place", "weight", "rest"), drawn["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    # the last rank taken of each class that is drawn in part
+    part = plan.where("draws > 0 AND draws < n").select("source", "class", "n", "words", "draws")
+    value = ranking_value(F.col("u"), F.col("size"), F.col("n"), F.col("words"), F.col("draws"))
+    # u again but for the odds within the class: bins of it hold nearly equal numbers
+    p = F.col("draws") / F.col("n")
+    even = F.col("q") * p / (1 - p)
+    bin_ = F.floor(even / (1 + even) * F.ceil(F.col("n") / BIN)).cast("long")
+    in_part = _joined(narrow, part).withColumn("q", value).withColumn("bin", bin_)
+    bins = in_part.groupBy("source", "class", "bin", "draws").agg(F.count("*").alias("have"))
+    before = Window.partitionBy("source", "class").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("have").over(before), F.lit(0)))
+    edge = written(bins.where("before < draws AND before + have >= draws").select("source", "class", F.col("bin").alias("edge"), "before"))
+    key = F.struct("q", "doc_id", "tie", "number")
+    at_edge = _joined(in_part, edge).where("bin = edge").withColumn("key", key)
+    rank = F.row_number().over(Window.partitionBy("source", "class").orderBy("key")) + F.col("before")
+    last = at_edge.withColumn("rank", rank).where("rank = draws").select("source", "class", F.col("key").alias("last"))
+    plan = written(plan.join(last.withColumnRenamed("source", "_s").withColumnRenamed("class", "_c"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left").drop("_s", "_c"))
+    d = _joined(table, plan).withColumn("q", value)
+    extra = (F.col("draws") >= F.col("n")) | ((F.col("draws") > 0) & (key <= F.col("last")))
+    d = d.withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0))
+    return d.withColumn("taken", F.col("copies") * F.col("size")).drop("class", "n", "words", "draws", "whole", "last", "q", "u", "tie", "number")
+
+
+def _joined(rows: DataFrame, by_class: DataFrame) -> DataFrame:
+    """rows with what by_class(source, class, ...) has for theirs; Spark broadcasts it if it is small."""
+    b = by_class.withColumnRenamed("source", "_s").withColumnRenamed("class", "_c")
+    return rows.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c"))).drop("_s", "_c")
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: float = MOST) -> DataFrame:
@@ -103,16 +191,6 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def mixed_rows(df: DataFrame, weights=WEIGHTS, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of df themselves, each as often as the mix takes it."""
-    key = df.withColumn("_k", F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`")))
-    t = written(key.select("_k", *(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))))
-                .transform(lambda d: sized(d.withColumn("doc_id", F.col("_k")))))
-    taken = mix(t, weights, most).groupBy(F.col("doc_id").alias("_k")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    # equal rows share a key: their copies are dealt evenly, the first ones getting one more
-    d = key.join(taken, "_k")
-    first = Window.partitionBy("_k").orderBy(F.lit(1))
-    many = d.where("_rows > 1").withColumn("_i", F.row_number().over(first) - 1)
-    each = F.floor(F.col("_n") / F.col("_rows")) + (F.col("_i") < F.col("_n") % F.col("_rows")).cast("int")
-    out = d.where("_rows = 1").withColumn("_c", F.col("_n").cast("long")).unionByName(
-        many.withColumn("_c", each.cast("long")).drop("_i")
-    )
-    return out.where("_c > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(*df.columns)
+    d = mix(written(sized(df, id_col, text_col, source_col, carry=df.columns)), weights, most)
+    d = d.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return d.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(df.columns)))
