@@ -87,21 +87,24 @@ def class_numbers(classes: list[tuple[int, int, int]], rest: float) -> list[int]
 
     Inclusion probabilities are in proportion to a class's mean size, and at most
     1: the largest classes are taken whole while theirs would be above. The words
-    that rounding to whole documents leaves over go to the next smaller class.
+    that rounding to whole documents leaves over go to the next smaller class, and
+    none goes beyond rest while smaller documents can fill up to it.
     """
     order = sorted((i for i, c in enumerate(classes) if c[2] > 0), key=lambda i: -classes[i][0])
     mean = {i: classes[i][2] / classes[i][1] for i in order}
     squares, left, numbers = sum(mean[i] * classes[i][2] for i in order), rest, [0] * len(classes)
     factor = None
-    due = taken = 0.0
+    due, taken, smaller = 0.0, 0.0, sum(classes[i][2] for i in order)
     for i in order:
         _, n, words = classes[i]
         if factor is None and squares > 0 and left / squares * mean[i] < 1:
             factor = left / squares
         if factor is None:
             left, squares = left - words, squares - mean[i] * words
-        due += words * (1.0 if factor is None else factor * mean[i])
+        due, smaller = due + words * (1.0 if factor is None else factor * mean[i]), smaller - words
         numbers[i] = max(0, min(n, math.floor((min(due, rest) - taken) / mean[i] + 0.5)))
+        if numbers[i] and taken + numbers[i] * mean[i] > rest and taken + (numbers[i] - 1) * mean[i] + smaller >= rest:
+            numbers[i] -= 1
         taken += numbers[i] * mean[i]
     return numbers
 
@@ -120,9 +123,9 @@ def _numbered(batches):
 
 
 def ranking_value(u: Column, size: Column, n: Column, words: Column, draws: Column) -> Column:
-    """Random odds divided by inclusion odds, the inclusion probability being in proportion to size within its class of n documents."""
+    """Random odds divided by inclusion odds, the inclusion probability being in proportion to size within its class; null where nothing is drawn."""
     p = F.least(draws * size / words, F.lit(1 - 1e-9))
-    return (u / (1 - u)) / (p / (1 - p))
+    return F.when((draws > 0) & (draws < n), (u / (1 - u)) / (p / (1 - p)))
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] | None = None) -> DataFrame:
