@@ -5,9 +5,11 @@ shingles of five words; a text of one to four words is one shingle. Sketches
 merge across parts, and estimate resemblance, containment and distinct shingles.
 
 Defined results: null text is empty and has an empty sketch; two empty sketches
-are alike (1.0), an empty and another are not (0.0); rows without an id come
-last in the order; rows of equal id are ordered by a hash of their text;
-repeated rows each give a row; an empty table gives none.
+are alike (1.0), an empty and another are not (0.0); rows without an id (or with
+one that is no integer) come last, in the order of a hash of their text, as do
+rows of equal id among each other; repeated rows each give a row, and follow each
+other; very long texts count whole; extra columns are left alone, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import only, partitions, words
 
 K, SHINGLE, BITS, DIGITS = 64, 5, 48, 12
-_LAST = 2**63 - 1
 
 
 def shingle_hashes(word_array: Column, width: int = SHINGLE) -> Column:
@@ -100,20 +101,24 @@ def with_next(d: DataFrame, columns: list[str], sketch=lambda x: x) -> DataFrame
     """Each row of d(doc_id, text, ...) with next_<column> of the row that follows by doc_id; the first follows the last.
 
     Rows go once through a shuffle into ranges of ids whose bounds come from
-    mergeable quantiles; the first rows of each range are also sent to the range
+    mergeable quantiles (rows without an id into ranges of a hash of their text,
+    behind all others); the first rows of each range are also sent to the range
     before, so the window never needs all rows in one place. sketch() adds
     columns after the shuffle.
     """
     n = 4 * partitions(d.sparkSession)
-    d = d.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    cuts = d.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
+    id_ = F.expr("try_cast(doc_id AS bigint)")
+    d = d.withColumn("_tie", F.xxhash64("text")).withColumn("_key", F.coalesce(id_, F.col("_tie")))
+    cuts = d.agg(F.percentile_approx(id_, [i / n for i in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
     bounds = sorted(set(cuts or []))
-    d = d.withColumn("_bucket", _bucket(F.col("_key"), bounds))
-    firsts = {r["_bucket"]: r["k"] for r in d.groupBy("_bucket").agg(F.min("_key").alias("k")).collect()}  # at most n rows
+    last = F.floor((F.col("_tie") / float(2**64) + 0.5) * n).cast("int")  # n equal ranges of the hash
+    d = d.withColumn("_bucket", F.when(id_.isNotNull(), _bucket(F.col("_key"), bounds)).otherwise(len(bounds) + 1 + F.least(last, F.lit(n - 1))))
+    firsts = {r["_bucket"]: r["k"] for r in d.groupBy("_bucket").agg(F.min("_key").alias("k")).collect()}  # at most 2 n rows
     there = sorted(firsts)
     before = {b: there[i - 1] for i, b in enumerate(there)}
-    first_of = F.lit([firsts.get(b, _LAST) for b in range(len(bounds) + 1)])
-    before_of = F.lit([before.get(b, 0) for b in range(len(bounds) + 1)])
+    buckets = range(len(bounds) + 1 + n)
+    first_of = F.lit([firsts.get(b, 0) for b in buckets])
+    before_of = F.lit([before.get(b, 0) for b in buckets])
     places = F.when(
         F.col("_key") == F.get(first_of, F.col("_bucket")),
         F.array(
@@ -122,7 +127,7 @@ def with_next(d: DataFrame, columns: list[str], sketch=lambda x: x) -> DataFrame
         ),
     ).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("copy"))))
     placed = d.withColumn("_at", F.explode(places)).withColumn("_b", F.col("_at.b")).withColumn("_copy", F.col("_at.copy"))
-    placed = placed.drop("_at", "_bucket").withColumn("_tie", F.xxhash64("text")).repartition("_b")
+    placed = placed.drop("_at", "_bucket").repartition("_b")
     w = Window.partitionBy("_b").orderBy("_copy", "_key", "_tie")
     follow = sketch(placed).select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return follow.where(~F.col("_copy")).drop("_b", "_copy", "_key", "_tie")

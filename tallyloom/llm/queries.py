@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .fingerprints import as_text, edited_pairs, resemblance
+from .fingerprints import as_text, containment, distinct_shingles, edited_pairs, resemblance
 from .langid import language_id
 from .licenses import license_scan
 from .lmscore import score_documents
@@ -103,6 +103,8 @@ def op7_fingerprints(spark, sf_dir):
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_within"),
+        distinct_shingles(F.col("sketch")).alias("n_shingles"),
     )
 
 
