@@ -10,7 +10,7 @@ from tallyloom.llm.fingerprints import edited_pairs
 from tallyloom.llm.langid import language_id
 from tallyloom.llm.licenses import license_scan
 from tallyloom.llm.lmscore import score_documents
-from tallyloom.llm.mixing import mix_sources, mixed_rows, water_fill
+from tallyloom.llm.mixing import mix_sources, mixed_rows
 from tallyloom.llm.neardup import first_of_class, near_duplicates
 from tallyloom.llm.packing import pack_documents, sequences
 from tallyloom.llm.quality import keep_good, quality_rules
@@ -64,6 +64,19 @@ def test_empty(docs, name):
     assert OPERATORS[name](docs([])).count() == 0
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_all_null(docs, name):
+    out = OPERATORS[name](docs([(None, None), (None, None), (3, None)]))
+    if name in PER_ROW:
+        assert out.count() == 3
+    elif name == "first_of_class":
+        assert [r["doc_id"] for r in out.collect()] == [3]
+    elif name == "keep_good" or name == "mixed_rows":
+        assert out.count() == 0
+    else:
+        assert [r["length"] for r in out.collect()] == [1, 1, 1]
+
+
 def test_suffix_values(docs):
     p = prose(30, 3)
     rows = {r["doc_id"]: r for r in dedup_passages(docs([(3, "aa " + p), (1, p + " bb"), (2, p[:49]), (4, p + p), (9, "q" * 200)])).collect()}
@@ -146,11 +159,6 @@ def test_plan_is_best_fit_decreasing():
             assert all(o == sum(n for p, n in b if p < o) for o, _ in b)
 
 
-def test_water_fill():
-    assert water_fill([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    assert water_fill([10, 1000, 0], [5, 2, 1]) == pytest.approx([30, 980, 0])
-
-
 def test_mixing_values(docs):
     rows = [(i, prose(20 + i % 7, i), ("en", f"s{i % 3}")) for i in range(300)]
     out = mix_sources(docs(rows)).collect()
@@ -211,8 +219,8 @@ def test_lattice_sums_all_segmentations():
     lattice = Lattice(pieces, np.log(p))
     words = [b"a", b"ab", b"abab", b"abaabab"]
     raw = np.frombuffer(b"".join(words), np.uint8)
-    end = np.cumsum([len(w) for w in words])
-    got = lattice.words(raw, end - [len(w) for w in words], end)
+    size = np.array([len(w) for w in words])
+    got = lattice.words(raw, np.cumsum(size) - size, size)
     assert np.exp(got) == pytest.approx([total(b" " + w) for w in words])
     assert np.exp(lattice.one(b" abaabab")) == pytest.approx(total(b" abaabab"))
 

@@ -42,9 +42,8 @@ def good(text):
 def near_free(rows):
     grams = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.lower().split() for _, t in rows)]
     df = Counter(g for c in grams for g in c)
-    n, total = len(rows), sum(map(len, grams))
-    floor = max(2, math.ceil(n / 1000), math.ceil(total / 2**20))
-    vec = [{g: k * (1 + math.log((1 + n) / (1 + max(df[g], floor)))) for g, k in c.items()} for c in grams]
+    n = len(rows)
+    vec = [{g: k * (1 + math.log((1 + n) / (1 + df[g]))) for g, k in c.items()} for c in grams]
     group = list(range(n))
     for i in range(n):
         for j in range(i):
