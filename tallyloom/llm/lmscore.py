@@ -343,7 +343,8 @@ def fitted(merged: DataFrame, pieces: list[bytes], logp: np.ndarray, n_end: int,
     end = float(np.log(SMOOTH))
     for _ in range(max(1, passes)):
         got = merged.select("blob").mapInArrow(_fitter(pieces, logp), "blob binary")
-        got = got.coalesce(16).mapInArrow(_added(len(pieces)), "blob binary").collect()
+        # dealt out again, so that a task has one Python worker, not two
+        got = got.repartition(16).mapInArrow(_added(len(pieces)), "blob binary").collect()
         total = sum((unpacked(r["blob"])[0] for r in got), np.zeros(len(pieces), "<i8"))
         logp, end = piece_scores(total * GRAIN, n_end)
     return logp, end
