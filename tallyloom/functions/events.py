@@ -48,18 +48,44 @@ def usage_text(usage: Column) -> Column:
     return bound(bound(usage, text), lambda t: F.when(t != "", t))
 
 
-def is_rate_limits(x: Column) -> Column:
-    named = at(x, "limit_id", "limit_name").isNotNull()
-    return named & at(x, "primary", "secondary", "credits").isNotNull()
+def rate_limits(payload: Column) -> Column:
+    """The first object of a JSON text, at any depth, that names a limit and has a bucket (which may be null).
 
+    A member rate_limits goes first, then the object itself, then its members in
+    order of key. JSON nests without bound, which expressions can't follow: an
+    Arrow-batched function, for payloads that name a limit (see may_limit).
+    """
+    import json
 
-#: Places where rate limits are known to stand; deeper ones are found by sources.jsontext.rate_limits.
-RATE_LIMIT_PATHS = ("rate_limits", "params.rateLimits", "params.msg.payload.rate_limits", "params.msg.rate_limits", "payload.rate_limits")
+    import pandas as pd
 
+    def is_limits(x) -> bool:
+        named = isinstance(x, dict) and any(x.get(k) not in (None, False) for k in ("limit_id", "limit_name"))
+        return named and not {"primary", "secondary", "credits"}.isdisjoint(x)
 
-def rate_limits(payload: Column) -> Column:
-    places = [F.get_json_object(payload, f"$.{p}") for p in RATE_LIMIT_PATHS]
-    return F.coalesce(*(F.when(is_rate_limits(p), p) for p in [*places, payload]))
+    def find(x):
+        if isinstance(x, dict):
+            own = next((y for y in (x.get("rate_limits"), x) if is_limits(y)), None)
+            return own or next((r for k in sorted(x) if (r := find(x[k]))), None)
+        return next((r for v in x if (r := find(v))), None) if isinstance(x, list) else None
+
+    def flat(x):
+        try:
+            found = find(json.loads(x))
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(found) if found else None
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(flat, na_action="ignore")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(payload)
+
+
+def may_limit(payload: Column) -> Column:
+    """False for texts that can't hold rate limits."""
+    return F.coalesce(payload.contains('"limit_id"') | payload.contains('"limit_name"'), F.lit(False))
 
 
 def rate_limit_bucket(x: Column) -> Column:
@@ -251,11 +277,17 @@ def route(line: Column) -> Column:
 INPUT_METHODS = ("turn/input_required", "turn/needs_input", "turn/need_input", "turn/request_input", "turn/request_response", "turn/provide_input", "turn/approval_required", "item/tool/requestUserInput", "mcpServer/elicitation/request")
 
 
-def needs_operator(event: Column, payload: Column) -> Column:
-    outcome = at(payload, "params.turn.status", "status")
-    return F.coalesce(
-        event.isin("turn_input_required", "approval_required") | at(payload, "method").isin(*INPUT_METHODS) | (outcome == "input_required"), F.lit(False)
-    )
+OPERATOR_EVENTS = ("turn_input_required", "approval_required")
+OPERATOR_OUTCOMES = ("input_required", "needs_input", "approval_required")
+
+
+def needs_operator(event: Column, payload: Column, completion: Column | None = None) -> Column:
+    """The event, the message or the outcome of a completion (a JSON text, else the payload's) waits for an operator."""
+    outcome = at(payload, "completion.outcome", "outcome", "params.turn.status", "status")
+    if completion is not None:
+        outcome = F.coalesce(at(completion, "outcome"), outcome)
+    waits = (event.isin(*OPERATOR_EVENTS), at(payload, "method").isin(*INPUT_METHODS), outcome.isin(*OPERATOR_OUTCOMES))
+    return reduce(lambda a, b: a | b, (F.coalesce(w, F.lit(False)) for w in waits))
 
 
 def envelope(line: Column, now: Column) -> list[Column]:

@@ -99,22 +99,33 @@ def countdown_seconds(ms: Column) -> Column:
     return F.format_string("%ds", F.ceil(ms / 1000))
 
 
+def first_characters(x: Column, most: int) -> Column:
+    """The first characters as a reader counts them: a letter with its marks, or a joined emoji, is one."""
+    return F.regexp_extract(x, rf"^\X{{0,{most}}}", 0)
+
+
 def truncated(x: Column, most: int) -> Column:
     """Cut to `most` characters with an ellipsis if the text takes more bytes than that."""
-    return bound(x, lambda v: F.when(F.octet_length(v) > most, F.concat(F.substring(v, 1, most), F.lit("..."))).otherwise(v))
+    return bound(x, lambda v: F.when(F.octet_length(v) > most, F.concat(first_characters(v, most), F.lit("..."))).otherwise(v))
 
 
 def cell(x: Column, width: int, right: bool = False) -> Column:
-    """Fixed-width table cell on one line; long values end in an ellipsis."""
-    one = F.coalesce(F.trim(F.regexp_replace(x, r"[\r\n]+", " ")), F.lit(""))
-    cut = F.when(F.char_length(one) > width, F.concat(F.substring(one, 1, width - 3), F.lit("..."))).otherwise(one)
-    return F.lpad(cut, width, " ") if right else F.rpad(cut, width, " ")
+    """Fixed-width table cell on one line: white space is one blank, and what takes more bytes than the width ends in an ellipsis."""
+    one = F.coalesce(trimmed(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    cut = bound(one, lambda v: F.when(F.octet_length(v) > width, F.concat(first_characters(v, width - 3), F.lit("..."))).otherwise(v))
+
+    def padded(v):
+        blanks = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.regexp_count(v, F.lit(r"\X")), F.lit(0)))
+        return F.concat(blanks, v) if right else F.concat(v, blanks)
+
+    return bound(cut, padded)
 
 
 def inline(x: Column, most: int = 80) -> Column:
     return truncated(F.trim(F.regexp_replace(x, r"\s+", " ")), most)
 
 
+# Patterns of ANSI sequences and control bytes.
 def without_control(x: Column) -> Column:
     """Without ANSI sequences and control bytes."""
     x = F.regexp_replace(x, "\\x1B\\[[0-9;]*[A-Za-z]", "")
@@ -141,6 +152,7 @@ def spaced_words(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, "[_/]", " "), r"\s+", " ")))
 
 
+# The characters of a safe key, and the form of its hash.
 def safe_key(x: Column) -> Column:
     """File-safe key: where unsafe characters were replaced, a hash of the original keeps keys apart."""
     safe = F.regexp_replace(x, r"[^A-Za-z0-9._-]", "_")
@@ -166,6 +178,7 @@ def spark_block(level: Column) -> Column:
     return F.element_at(F.array(*(F.lit(b) for b in BLOCKS)), level.cast("int") + 1)
 
 
+# Words of a state's name that choose its badge.
 def state_badge(state: Column) -> Column:
     s = F.lower(state)
     has = lambda *words: F.coalesce(s.rlike("|".join(words)), F.lit(False))
@@ -187,6 +200,7 @@ def rate_text(x: Column) -> Column:
     return F.format_number(F.floor(x), 0)
 
 
+# Words that make a log line a warning.
 def log_severity(line: Column) -> Column:
     """warning for lines that speak of trouble, else debug."""
     return F.when(line.rlike(r"(?i)\b(error|warn|warning|failed|fatal|panic|exception)\b"), "warning").otherwise("debug")

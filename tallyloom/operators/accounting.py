@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.events import INPUT_NAMES, OUTPUT_NAMES, TOTAL_NAMES, counter, rate_limits, token_usage
+from ..functions.events import INPUT_NAMES, OUTPUT_NAMES, TOTAL_NAMES, counter, may_limit, rate_limits, token_usage
 from ..functions.text import elapsed_seconds
 
 _REPORTED = (("input", INPUT_NAMES), ("output", OUTPUT_NAMES), ("total", TOTAL_NAMES))
@@ -61,7 +61,7 @@ def latest(events: DataFrame, run: str = "issue_id", order: str = "seq") -> Data
 
 def latest_rate_limits(events: DataFrame, order: str = "seq") -> DataFrame:
     """One row: the last rate limits of any run."""
-    e = events.withColumn("rate_limits", rate_limits(F.col("payload"))).where(F.col("rate_limits").isNotNull())
+    e = events.where(may_limit(F.col("payload"))).withColumn("rate_limits", rate_limits(F.col("payload"))).where(F.col("rate_limits").isNotNull())
     return e.agg(F.max_by("rate_limits", order).alias("rate_limits"))
 
 

@@ -100,6 +100,25 @@ def state_room(states: DataFrame, limits: DataFrame, running: DataFrame, default
     )
 
 
+def numbered(items: DataFrame, priority: str = "priority", created: str = "created_at", identifier: str = "identifier", id_col: str = "id") -> DataFrame:
+    """items with pos, their place in the whole order of dispatch from 1.
+
+    Items are numbered within their priority and hour of creation, behind the
+    counts of the hours before, which are one row each. No task sorts everything.
+    """
+    d = items.withColumn("_rank", priority_rank(F.col(priority))).withColumn("_hour", F.date_trunc("HOUR", F.col(created).cast("timestamp")))
+    counts = d.groupBy("_rank", "_hour").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_rank").orderBy(F.col("_hour").asc_nulls_last())
+    ranks = counts.groupBy("_rank").agg(F.sum("n").alias("n_rank"))
+    above = Window.partitionBy(F.lit(0)).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)  # five ranks
+    ranks = ranks.select(F.col("_rank").alias("_r"), F.coalesce(F.sum("n_rank").over(above), F.lit(0)).alias("_above"))
+    start = counts.join(F.broadcast(ranks), F.col("_rank") == F.col("_r"))
+    start = start.select("_r", F.col("_hour").alias("_h"), (F.col("_above") + F.sum("n").over(before) - F.col("n")).alias("_start"))
+    pos = F.row_number().over(Window.partitionBy("_rank", "_hour").orderBy(*dispatch_order(priority, created, identifier, id_col)))
+    d = d.withColumn("_pos", pos).join(start, (F.col("_rank") == F.col("_r")) & F.col("_hour").eqNullSafe(F.col("_h")))
+    return d.withColumn("pos", F.col("_pos") + F.col("_start")).drop("_rank", "_hour", "_r", "_h", "_start", "_pos")
+
+
 def within_quotas(eligible: DataFrame, room: DataFrame, free: int, order: list[Column], state: str = "state") -> DataFrame:
     """Items taken, with state_rank and dispatch_rank; at most `free`.
 

@@ -91,6 +91,13 @@ def same_scope(a, b):
     return key_of(a) == key_of(b)
 
 
+def claims_after(claims: DataFrame, claimed: DataFrame, released: DataFrame) -> DataFrame:
+    """The set of claimed ids after a round: first the new claims go in, then the completed and released ones out (one column each)."""
+    key = claims.columns[0]
+    named = lambda d: d.select(F.col(d.columns[0]).alias(key))
+    return named(claims).union(named(claimed)).distinct().join(named(released).distinct(), key, "left_anti")
+
+
 def latest_page_row(items: DataFrame, key: str = "id") -> DataFrame:
     """One row a key where pages overlap: that of the last page."""
     w = Window.partitionBy(key).orderBy(F.desc("page"))

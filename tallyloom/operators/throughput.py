@@ -21,11 +21,11 @@ def rate_now(samples: DataFrame, now_ms: int, current: int, window_ms: int = WIN
 
 
 def rolling_rate(samples: DataFrame, window_ms: int = WINDOW_MS, series: str = "series") -> DataFrame:
-    """Rate at every sample from the first one within its window."""
+    """Rate at every sample from the first one within its window; 0 where the counter has fallen."""
     w = Window.partitionBy(series).orderBy("ts_ms").rangeBetween(-window_ms, 0)
     old_ms, old = F.first("ts_ms").over(w), F.first("total").over(w)
     ms = F.col("ts_ms") - old_ms
-    return samples.withColumn("rate", F.when(ms > 0, (F.col("total") - old) / (ms / 1000)).otherwise(F.lit(0.0)))
+    return samples.withColumn("rate", F.when(ms > 0, F.greatest(F.col("total") - old, F.lit(0)) / (ms / 1000)).otherwise(F.lit(0.0)))
 
 
 def pair_rates(samples: DataFrame, series: str = "series") -> DataFrame:

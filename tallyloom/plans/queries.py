@@ -52,12 +52,11 @@ _ITEMS = """items AS (SELECT o_orderkey::VARCHAR AS id, 'O-' || o_orderkey AS id
 _ORDER = "prio, created_at NULLS LAST, identifier, id"
 
 
-@query(f"WITH {_ITEMS} SELECT id, identifier, prio::BIGINT AS priority_rank, row_number() OVER (ORDER BY {_ORDER})::BIGINT AS pos FROM items WHERE state_key = 'o' ORDER BY {_ORDER} LIMIT 100")
+@query(f"WITH {_ITEMS} SELECT id, identifier, prio::BIGINT AS priority_rank, row_number() OVER (ORDER BY {_ORDER})::BIGINT AS pos FROM items WHERE state_key = 'o'")
 def dispatch_order(spark, d):
-    """First hundred open items in the total order of dispatch."""
-    top = dispatch.candidates(_items(spark, d), ["O"], ["F"]).orderBy(*dispatch.dispatch_order()).limit(100)
-    pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*dispatch.dispatch_order())).cast("long")
-    return top.select("id", "identifier", dispatch.priority_rank(F.col("priority")).cast("long").alias("priority_rank"), pos.alias("pos"))
+    """All open items with their place in the total order of dispatch."""
+    out = dispatch.numbered(dispatch.candidates(_items(spark, d), ["O"], ["F"]))
+    return out.select("id", "identifier", dispatch.priority_rank(F.col("priority")).cast("long").alias("priority_rank"), F.col("pos").cast("long").alias("pos"))
 
 
 _PLAN = f"""WITH {_ITEMS}, e AS (SELECT * FROM items WHERE state_key IN ('o', 'p') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
@@ -109,66 +108,70 @@ def unblocked_items(spark, d):
     return _with_blockers(spark, d).where("NOT blocked").select("o_orderkey")
 
 
-_FRESH = "SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS state, o_orderpriority <> '5-LOW' AS ok FROM orders WHERE o_orderkey % 3 <> 0"
+_FRESH = "SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS state, o_orderpriority <> '5-LOW' AS ok FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'"
 
 
 def _fresh(spark, d):
-    o = _items(spark, d).where("o_orderkey % 3 <> 0")
+    o = _items(spark, d).where("title <> '4-NOT SPECIFIED'")  # these are no longer listed
     return o.withColumn("dispatchable", F.col("title") != "5-LOW")
 
 
 @query(f"""SELECT o_orderkey::VARCHAR AS issue_id, f.state AS fresh_state, CASE WHEN f.id IS NULL THEN 'missing' WHEN f.state = 'F' THEN 'terminal' WHEN NOT f.ok THEN 'unroutable'
- WHEN f.state = 'O' THEN 'active' ELSE 'other' END AS action FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR WHERE o_custkey % 5 = 0""")
+ WHEN f.state = 'O' THEN 'active' ELSE 'other' END AS action FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR""")
 def reconcile_actions(spark, d):
-    current = _items(spark, d).where("o_custkey % 5 = 0").select(F.col("id").alias("issue_id"))
+    current = _items(spark, d).select(F.col("id").alias("issue_id"))
     return reconcile.reconcile(current, _fresh(spark, d), ["O"], ["F"]).select("issue_id", "fresh_state", "action")
 
 
 @query(f"""SELECT o_orderkey::VARCHAR AS id, CASE WHEN f.id IS NULL THEN 'missing' WHEN f.ok AND f.state = 'O' THEN 'ok' ELSE 'changed' END AS outcome
- FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR WHERE o_custkey % 7 = 0""")
+ FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR""")
 def revalidated_items(spark, d):
-    planned = _items(spark, d).where("o_custkey % 7 = 0").select("id")
+    planned = _items(spark, d).select("id")
     ok = F.col("dispatchable") & dispatch.in_states(F.col("state"), ["O"])
     return reconcile.revalidate(planned, _fresh(spark, d), ok).select("id", "outcome")
 
 
 @query(f"""SELECT o_orderkey::VARCHAR AS issue_id, CASE WHEN f.state = 'F' THEN 'release_and_clean' WHEN f.ok AND f.state = 'O' THEN 'retry' ELSE 'release' END AS outcome
- FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR WHERE o_custkey % 11 = 0""")
+ FROM orders LEFT JOIN ({_FRESH}) f ON f.id = o_orderkey::VARCHAR""")
 def retry_lookups(spark, d):
-    due = _items(spark, d).where("o_custkey % 11 = 0").select(F.col("id").alias("issue_id"))
+    due = _items(spark, d).select(F.col("id").alias("issue_id"))
     return reconcile.retry_outcomes(due, _fresh(spark, d), ["O"], ["F"]).select("issue_id", "outcome")
 
 
 @query("""SELECT identifier, CASE WHEN a.k IS NOT NULL THEN 'running' WHEN b.k IS NOT NULL THEN 'retrying' ELSE 'blocked' END AS status,
  coalesce(a.h, b.h, c.h) AS worker_host, coalesce(c.e, b.e) AS last_error, greatest(coalesce(b.n, 0) - 1, 0)::BIGINT AS restart_count FROM
- (SELECT DISTINCT 'O-' || o_orderkey AS identifier FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)
- LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'h' || o_custkey % 7 AS h FROM orders WHERE o_orderkey % 2 = 0) a ON a.k = identifier
- LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'r' || o_custkey % 7 AS h, 'retry ' || o_orderstatus AS e, o_custkey % 4 AS n FROM orders WHERE o_orderkey % 3 = 0) b ON b.k = identifier
- LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'b' || o_custkey % 7 AS h, 'blocked ' || o_orderstatus AS e FROM orders WHERE o_orderkey % 5 = 0) c ON c.k = identifier""")
+ (SELECT DISTINCT 'O-' || o_orderkey AS identifier FROM orders WHERE o_orderstatus = 'O' OR o_orderpriority < '3' OR o_orderpriority > '4')
+ LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'h' || o_custkey % 7 AS h FROM orders WHERE o_orderstatus = 'O') a ON a.k = identifier
+ LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'r' || o_custkey % 7 AS h, 'retry ' || o_orderstatus AS e, o_custkey % 4 AS n FROM orders WHERE o_orderpriority < '3') b ON b.k = identifier
+ LEFT JOIN (SELECT 'O-' || o_orderkey AS k, 'b' || o_custkey % 7 AS h, 'blocked ' || o_orderstatus AS e FROM orders WHERE o_orderpriority > '4') c ON c.k = identifier""")
 def lookup_precedence(spark, d):
     o = _items(spark, d).withColumn("issue_id", F.col("id"))
     host = lambda p: F.concat(F.lit(p), (F.col("o_custkey") % 7).cast("string"))
-    run = o.where("o_orderkey % 2 = 0").withColumn("worker_host", host("h"))
-    again = o.where("o_orderkey % 3 = 0").withColumns({"worker_host": host("r"), "error": F.concat(F.lit("retry "), "state"), "attempt": F.col("o_custkey") % 4})
-    stuck = o.where("o_orderkey % 5 = 0").withColumns({"worker_host": host("b"), "error": F.concat(F.lit("blocked "), "state")})
+    run = o.where("state = 'O'").withColumn("worker_host", host("h"))
+    again = o.where("title < '3'").withColumns({"worker_host": host("r"), "error": F.concat(F.lit("retry "), "state"), "attempt": F.col("o_custkey") % 4})
+    stuck = o.where("title > '4'").withColumns({"worker_host": host("b"), "error": F.concat(F.lit("blocked "), "state")})
     return reconcile.by_identifier(run, again, stuck).select("identifier", "status", "worker_host", "last_error", F.col("restart_count").cast("long"))
 
 
-_ASKED = [400, 7, 32, 1, 999_999_999, 7, 100, 65]
-
-
-@query(f"SELECT o_orderkey, (min(i) - 1)::INT AS pos FROM (SELECT unnest({_ASKED}) AS k, generate_subscripts({_ASKED}, 1) AS i) JOIN orders ON k = o_orderkey GROUP BY o_orderkey")
+@query("""WITH asked AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS pos FROM lineitem)
+ SELECT o_orderkey, min(pos)::BIGINT AS pos FROM orders JOIN asked ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def requested_order(spark, d):
-    asked = spark.range(1).select(F.posexplode(F.lit(_ASKED)).alias("pos", "o_orderkey"))
+    """Orders in the order in which lines ask for them, the first request counting."""
+    l = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber")
+    days = l.groupBy("l_shipdate").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("l_shipdate")) - F.col("n")  # one row a day
+    own = F.row_number().over(Window.partitionBy("l_shipdate").orderBy("o_orderkey", "l_linenumber")) - 1
+    asked = l.withColumn("own", own).join(F.broadcast(days.select("l_shipdate", before.alias("before"))), "l_shipdate")
+    asked = asked.select("o_orderkey", (F.col("own") + F.col("before")).cast("long").alias("pos"))
     return reconcile.in_requested_order(_t(spark, d, "orders"), asked, "o_orderkey").select("o_orderkey", "pos")
 
 
 @query("""SELECT s.state_key, greatest(coalesce(l.n, 10) - coalesce(r.c, 0), 0)::BIGINT AS room FROM (SELECT DISTINCT lower(o_orderstatus) AS state_key FROM orders) s
- LEFT JOIN (VALUES ('o', 5000), ('p', 3)) l(k, n) ON l.k = s.state_key LEFT JOIN (SELECT lower(o_orderstatus) AS k, count(*) AS c FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1) r ON r.k = s.state_key""")
+ LEFT JOIN (VALUES ('o', 5000), ('p', 3)) l(k, n) ON l.k = s.state_key LEFT JOIN (SELECT lower(o_orderstatus) AS k, count(*) AS c FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) r ON r.k = s.state_key""")
 def state_limits(spark, d):
     o = _items(spark, d)
     limits = spark.createDataFrame([("O", 5000), (" p", 3)], "state string, max_running long")
-    return dispatch.state_room(o, limits, o.where("o_custkey % 10 = 0"), 10)
+    return dispatch.state_room(o, limits, o.where("title = '1-URGENT'"), 10)
 
 
 @query("""SELECT 'running' AS status, count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders UNION ALL SELECT 'retrying', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
@@ -214,10 +217,17 @@ def counter_delta(spark, d):
     return accounting.deltas(e, "reported", order="at").select(F.col("seq").alias("event_id"), "delta")
 
 
-@query(_DELTA + " SELECT sum(delta)::BIGINT AS total FROM x")
+_USAGE = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("reported").alias("input_tokens"), (F.col("reported") * 2).alias("outputTokens"), (F.col("reported") * 3).alias("total_tokens")).alias("total")).alias("tokenUsage")).alias("params")))
+
+
+@query(_DELTA + """ SELECT sum(delta)::BIGINT AS input_tokens, (2 * sum(delta))::BIGINT AS output_tokens, (3 * sum(delta))::BIGINT AS total_tokens,
+ (SELECT sum(date_sub('second', a, b)) FROM (SELECT min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id))::BIGINT AS seconds_running FROM x""")
 def counter_totals(spark, d):
-    e = _events(spark, d).withColumn("at", F.struct("ts", "seq"))
-    return accounting.deltas(e, "reported", order="at").agg(F.sum("delta").alias("total"))
+    """Totals of all runs from the counters that their messages report, and their seconds."""
+    e = _events(spark, d)
+    ended = e.groupBy("issue_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
+    e = e.withColumn("payload", _USAGE).withColumn("seq", F.struct("ts", "seq"))
+    return accounting.totals(e, ended)
 
 
 @query(f"WITH {_EV} SELECT event_id, coalesce(max(reported) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS mark FROM e")
@@ -232,10 +242,16 @@ def latest_event(spark, d):
     return accounting.latest(e, order="at").select(F.col("issue_id").alias("user_id"), "last_event", "last_ts", "session_id")
 
 
-@query("SELECT arg_max(props, (ts, event_id)) AS rate_limits FROM events WHERE event_type = 'error'")
+@query("SELECT arg_max(event_id, (ts, event_id))::BIGINT AS remaining, arg_max(user_id, (ts, event_id))::VARCHAR AS limit_id FROM events WHERE event_type IN ('error', 'click')")
 def latest_payload(spark, d):
-    e = _t(spark, d, "events").where("event_type = 'error'")
-    return e.agg(F.max_by("props", F.struct("ts", "event_id")).alias("rate_limits"))
+    """The last rate limits that any message holds, however deep; other messages name none, or no bucket."""
+    e = _events(spark, d)
+    limits = F.struct(F.col("issue_id").cast("string").alias("limit_id"), F.struct(F.col("seq").alias("remaining")).alias("primary"))
+    flat, bare = F.to_json(F.struct(F.struct(limits.alias("rateLimits")).alias("params"))), F.to_json(F.struct(F.col("event").alias("limit_id")))
+    nested = F.to_json(F.struct(F.array(F.struct(F.struct(limits.alias("b")).alias("a"))).alias("list")))
+    e = e.withColumn("payload", F.when(F.col("event") == "error", nested).when(F.col("event") == "click", flat).otherwise(bare)).withColumn("seq", F.struct("ts", "seq"))
+    got = accounting.latest_rate_limits(e)
+    return got.select(F.get_json_object("rate_limits", "$.primary.remaining").cast("long").alias("remaining"), F.get_json_object("rate_limits", "$.limit_id").alias("limit_id"))
 
 
 @query("""WITH w AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
@@ -251,16 +267,16 @@ def run_seconds(spark, d):
 
 
 def _samples(spark, d) -> DataFrame:
-    e = _t(spark, d, "events").select(F.col("user_id").alias("series"), _ms(F.col("ts")).alias("ts_ms"), "event_id")
-    w = Window.partitionBy("series").orderBy("ts_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("total", F.count("*").over(w))
+    e = _t(spark, d, "events").select(F.col("user_id").alias("series"), _ms(F.col("ts")).alias("ts_ms"), "event_id", "ts")
+    w = Window.partitionBy("series").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("total", F.count("*").over(w) % 40)  # a counter that falls back now and then
 
 
-_SAMPLES = "s AS (SELECT user_id AS series, epoch_us(ts) // 1000 AS ts_ms, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)"
+_SAMPLES = "s AS (SELECT user_id AS series, epoch_us(ts) // 1000 AS ts_ms, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 40 AS total FROM events)"
 
 
 @query(f"""WITH {_SAMPLES}, w AS (SELECT *, first_value(ts_ms) OVER v AS a, first_value(total) OVER v AS b FROM s WINDOW v AS (PARTITION BY series ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW))
- SELECT event_id, round(CASE WHEN ts_ms > a THEN (total - b) / ((ts_ms - a) / 1000) ELSE 0 END, 9) AS rate FROM w""")
+ SELECT event_id, round(CASE WHEN ts_ms > a THEN greatest(total - b, 0) / ((ts_ms - a) / 1000) ELSE 0 END, 9) AS rate FROM w""")
 def rolling_rate(spark, d):
     return throughput.rolling_rate(_samples(spark, d), 3_600_000).select("event_id", F.round("rate", 9).alias("rate"))
 
@@ -334,14 +350,17 @@ def sanitize_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.md5(tx.without_control(F.col("html"))).alias("clean_md5"))
 
 
-@query("""SELECT doc_id, CASE WHEN octet_length(encode(t)) > 80 THEN substr(t, 1, 80) || '...' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(t)) > 80 THEN left_grapheme(t, 80) || '...' ELSE t END AS preview
+ FROM (SELECT doc_id, trim(regexp_replace(replace(text, 'e', 'e' || chr(769)), '[\\s\\x0B]+', ' ', 'g')) AS t FROM documents)""")
 def inline_preview(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.inline(F.col("text")).alias("preview"))
+    return _t(spark, d, "documents").select("doc_id", tx.inline(F.replace("text", F.lit("e"), F.lit("e\u0301"))).alias("preview"))  # letters with a mark of their own
 
 
-@query("SELECT s_suppkey, rpad(CASE WHEN length(s_name) > 12 THEN substr(s_name, 1, 9) || '...' ELSE s_name END, 12, ' ') || lpad(s_nationkey::VARCHAR, 5, ' ') AS line FROM supplier")
+@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g')) AS t FROM documents),
+ k AS (SELECT doc_id, CASE WHEN octet_length(encode(t)) > 30 THEN left_grapheme(t, 27) || '...' ELSE t END AS t FROM c)
+ SELECT doc_id, t || repeat(' ', greatest(30 - length_grapheme(t), 0)) || lpad(doc_id::VARCHAR, 8, ' ') AS line FROM k""")
 def truncate_cells(spark, d):
-    return _t(spark, d, "supplier").select("s_suppkey", F.concat(tx.cell(F.col("s_name"), 12), tx.cell(F.col("s_nationkey").cast("string"), 5, right=True)).alias("line"))
+    return _t(spark, d, "documents").select("doc_id", F.concat(tx.cell(F.col("text"), 30), tx.cell(F.col("doc_id").cast("string"), 8, right=True)).alias("line"))
 
 
 @query("""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(replace(p_type, ' ', '_'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_/]', ' ', 'g'), '\\s+', ' ', 'g'))) AS words FROM part""")
@@ -360,16 +379,16 @@ def format_counts(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", tx.grouped(F.floor("o_totalprice")).alias("price"), tx.duration_words(F.col("o_custkey")).alias("duration"))
 
 
-@query("SELECT o_orderkey, 0 AS page FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, 0 AS page FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderpriority < '3'")
 def page_union(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey")
-    return reconcile.merged_pages(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"))
+    o = _t(spark, d, "orders")
+    return reconcile.merged_pages(o.where("o_orderstatus = 'O'").select("o_orderkey"), o.where("o_orderpriority < '3'").select("o_orderkey"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_orderkey FROM orders WHERE o_orderpriority < '3'")
 def visible_diff(spark, d):
-    o = _t(spark, d, "orders").select("o_orderkey")
-    return reconcile.not_visible(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "o_orderkey")
+    o = _t(spark, d, "orders")
+    return reconcile.not_visible(o.where("o_orderstatus = 'O'").select("o_orderkey"), o.where("o_orderpriority < '3'"), "o_orderkey")
 
 
 @query("SELECT page_id, CASE WHEN contains(url, 'casino') THEN NULL WHEN regexp_matches(url, '^https?://[^/]') THEN url END AS link FROM pages")

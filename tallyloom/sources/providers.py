@@ -137,34 +137,6 @@ def rich_text(document: Column) -> Column:
     return F.pandas_udf(run, "string")(document)
 
 
-def deep_rate_limits(payload: Column) -> Column:
-    """First object, at any depth of a JSON text, that names a limit and has a bucket; depth first, in key order."""
-    import json
-
-    import pandas as pd
-
-    def find(x):
-        if isinstance(x, dict):
-            if (x.get("limit_id") or x.get("limit_name")) and {"primary", "secondary", "credits"} & x.keys():
-                return x
-            held = x.get("rate_limits")
-            return (find(held) if held is not None else None) or next((r for k in sorted(x) if (r := find(x[k]))), None)
-        return next((r for v in x if (r := find(v))), None) if isinstance(x, list) else None
-
-    def flat(x):
-        try:
-            found = find(json.loads(x))
-        except ValueError:
-            return None
-        return json.dumps(found) if found else None
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(flat, na_action="ignore")
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(payload)
-
-
 def well_formed() -> Column:
     return non_blank(F.col("id")) & non_blank(F.col("identifier")) & non_blank(F.col("title")) & non_blank(F.col("state"))
 

@@ -99,7 +99,6 @@ def test_rate_limits(spark):
     limits = {"limit_id": "gpt", "primary": {"remaining": 10, "limit": 20, "reset_in_seconds": 30}, "credits": {"unlimited": True}}
     payload = json.dumps({"params": {"rateLimits": limits}})
     assert one(spark, ev.rate_limits_text(ev.rate_limits(F.lit(payload)))) == "gpt | primary 10/20 reset 30s | credits unlimited"
-    from tallyloom.sources.providers import deep_rate_limits
 
     deep = json.dumps({"a": [{"b": {"c": limits}}]})
-    assert json.loads(one(spark, deep_rate_limits(F.lit(deep)))) == limits
+    assert json.loads(one(spark, ev.rate_limits(F.lit(deep)))) == limits

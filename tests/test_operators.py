@@ -21,15 +21,15 @@ def items(spark, rows):
 
 
 def test_order(spark):
-    d = items(spark, [item("MT-199", priority=2, created=datetime(2025, 12, 1)), item("MT-201", created=datetime(2026, 1, 2)), item("MT-200"), item("MT-1", priority=None), item("MT-2", priority=9, created=None)])
-    assert [r["id"] for r in d.orderBy(*dispatch.dispatch_order()).collect()] == ["MT-200", "MT-201", "MT-199", "MT-1", "MT-2"]
+    d = items(spark, [item("K-8", priority=2, created=datetime(2025, 12, 1)), item("K-9", created=datetime(2026, 1, 2)), item("K-7"), item("K-1", priority=None), item("K-2", priority=9, created=None)])
+    assert [r["id"] for r in d.orderBy(*dispatch.dispatch_order()).collect()] == ["K-7", "K-9", "K-8", "K-1", "K-2"]
 
 
 def test_eligibility(spark):
     rows = [item("a", labels=["backend", "javascript"]), item("b", state="Done", labels=["backend"]), item("c", labels=[]), item(" ", labels=["backend"]), item("e", dispatchable=False, labels=["backend"])]
     ids = lambda req: {r["id"] for r in dispatch.candidates(items(spark, rows), [" todo"], ["done"], req).collect()}
     assert ids([" Backend ", "JAVASCRIPT"]) == {"a"}
-    assert ids(["symph"]) == ids([" "]) == set()
+    assert ids(["back"]) == ids([" "]) == set()
     assert ids([]) == {"a", "c"}
 
 
@@ -80,7 +80,7 @@ def test_sessions(spark):
     assert accounting.session_count(d).first()["turn_count"] == 1
 
 
-@pytest.mark.parametrize(("samples", "now", "current", "rate"), [([], 10_000, 0, 0.0), ([(9000, 20)], 10_000, 40, 20.0), ([(4900, 10)], 10_000, 90, 0.0), ([(9500, 10), (9000, 40), (8000, 80)], 10_000, 95, 7.5)])
+@pytest.mark.parametrize(("samples", "now", "current", "rate"), [([], 7_000, 5, 0.0), ([(6_500, 30)], 7_000, 36, 12.0), ([(1_900, 3)], 7_000, 90, 0.0), ([(6_800, 10), (6_000, 44), (5_000, 60)], 7_000, 90, 15.0), ([(6_000, 50)], 7_000, 20, 0.0)])
 def test_rate(spark, samples, now, current, rate):
     d = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(samples)], "pos int, ts_ms long, total long")
     assert throughput.rate_now(d, now, current).first()["rate"] == rate
