@@ -395,25 +395,3 @@ def visible_diff(spark, d):
 def external_links(spark, d):
     u = F.when(F.col("url").contains("casino"), F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url"))
     return _t(spark, d, "pages").select("page_id", tx.safe_link(u).alias("link"))
-
-
-@query()
-def state_document(spark, d):
-    """The whole state of twenty running, ten retrying and five blocked items as one JSON text."""
-    o = _items(spark, d).withColumn("issue_id", F.col("id"))
-    now = F.lit("2024-01-25 00:00:00").cast("timestamp")
-    null = lambda *names: {n: F.lit(None).cast("string") for n in names}
-    top = lambda s, n: o.where(F.col("state") == s).orderBy(*dispatch.dispatch_order()).limit(n).withColumns(null("issue_url", "worker_host", "workspace_path", "session_id", "error", "last_event", "last_message"))
-    run = top("O", 20).withColumns({"input_tokens": F.col("o_custkey"), "output_tokens": F.col("o_custkey") * 2, "total_tokens": F.col("o_custkey") * 3, "turn_count": F.lit(1), "pid": F.lit("1"), "started_at": F.col("created_at").cast("timestamp"), "last_ts": now})
-    again = top("F", 10).withColumns({"attempt": F.lit(2), "due_at_ms": F.lit(_NOW) + F.col("o_custkey")})
-    stuck = top("P", 5).withColumns({"blocked_at": now, "last_ts": now})
-    totals = run.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("total_tokens").alias("total_tokens"))
-    return status.state_document(run, again, stuck, totals, now, _NOW)
-
-
-@query()
-def event_sentences(spark, d):
-    """A sentence for every event, its payload shaped as a protocol message."""
-    method = F.element_at(F.array(*(F.lit(m) for m in ("turn/started", "turn/completed", "item/started", "turn/failed", "thread/started"))), (F.col("event_id") % 5).cast("int") + 1)
-    payload = F.to_json(F.struct(method.alias("method"), F.struct(F.struct(F.col("event_id").cast("string").alias("id")).alias("turn"), F.struct(F.col("event_type").alias("message")).alias("error")).alias("params")))
-    return _t(spark, d, "events").select("event_id", ev.event_sentence(F.lit("notification"), payload).alias("sentence"))
