@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import os
 import re
 from dataclasses import dataclass, field, fields
+from datetime import date, time
 from pathlib import Path
 
 
@@ -28,13 +30,29 @@ class Config:
     hosts: tuple[str, ...] = ()
     max_agents_per_host: int | None = None
     stall_timeout_ms: int = 300_000
+    turn_timeout_ms: int = 3_600_000
+    read_timeout_ms: int = 5_000
+    refresh_ms: int = 1_000
+    render_interval_ms: int = 16
+    port: int | None = None
     provider: dict = field(default_factory=dict)
 
     def problems(self) -> list[str]:
-        out = [f"{n} must be positive" for n in ("poll_interval_ms", "max_concurrent_agents", "max_turns", "max_retry_backoff_ms") if getattr(self, n) <= 0]
-        out += [f"limit of state {s!r} must be positive" for s, n in self.max_concurrent_agents_by_state.items() if not s.strip() or n <= 0]
-        if self.max_agents_per_host is not None and self.max_agents_per_host <= 0:
-            out.append("max_agents_per_host must be positive")
+        """One message for each wrong type, each number out of its range, and each contradiction."""
+        out = []
+        for name, least in _LEAST.items():
+            v = getattr(self, name)
+            if v is None and name in ("max_agents_per_host", "port"):
+                continue
+            if isinstance(v, bool) or not isinstance(v, int):
+                out.append(f"{name} must be a whole number")
+            elif v < least:
+                out.append(f"{name} must be " + ("positive" if least == 1 else f"{least} or more"))
+        if self.tracker_kind not in _KINDS:
+            out.append(f"tracker_kind must be one of {', '.join(_KINDS)}")
+        for s, n in self.max_concurrent_agents_by_state.items():
+            if not str(s).strip() or isinstance(n, bool) or not isinstance(n, int) or n <= 0:
+                out.append(f"limit of state {s!r} must be positive")
         both = {s.strip().lower() for s in self.active_states} & {s.strip().lower() for s in self.terminal_states}
         return out + [f"state {s!r} is both active and terminal" for s in sorted(both)]
 
@@ -42,6 +60,19 @@ class Config:
         return {s.strip().lower(): n for s, n in self.max_concurrent_agents_by_state.items()}
 
 
+# Kinds of trackers, and the least value of each number.
+_KINDS = ("linear", "github", "gitlab", "jira", "asana", "memory")
+_LEAST = {
+    "poll_interval_ms": 1, "max_concurrent_agents": 1, "max_turns": 1, "max_retry_backoff_ms": 1, "max_agents_per_host": 1, "stall_timeout_ms": 0,
+    "turn_timeout_ms": 1, "read_timeout_ms": 1, "refresh_ms": 1, "render_interval_ms": 1, "port": 0,
+}
+
+
+def cast(value):
+    """A text of a whole number, as front matter and environment give them, as that number; all else as it is."""
+    return int(value) if isinstance(value, str) and re.fullmatch(r"\s*[+-]?[0-9]+\s*", value) else value
+
+
 def plain(value):
     """Keys as text, without nulls, at any depth."""
     if isinstance(value, dict):
@@ -68,7 +99,9 @@ def parse(text: str, env=os.environ) -> tuple[Config, str]:
         raise ConfigError("front matter isn't a map")
     given = resolved(plain(loaded), env)
     names = {f.name for f in fields(Config)}
-    known = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in names}
+    known = {k: tuple(v) if isinstance(v, list) else cast(v) if k in _LEAST else v for k, v in given.items() if k in names}
+    if isinstance(known.get("max_concurrent_agents_by_state"), dict):
+        known["max_concurrent_agents_by_state"] = {k: cast(v) for k, v in known["max_concurrent_agents_by_state"].items()}
     config = Config(**known, provider={**known.pop("provider", {}), **{k: v for k, v in given.items() if k not in names}}) if "provider" not in known else Config(**known)
     if found := config.problems():
         raise ConfigError("; ".join(found))
@@ -97,15 +130,63 @@ class Store:
         return self.value
 
 
+# Filters that a template may use, by name.
+FILTERS = {
+    "upcase": lambda v, *_: str(v).upper(),
+    "downcase": lambda v, *_: str(v).lower(),
+    "capitalize": lambda v, *_: str(v)[:1].upper() + str(v)[1:].lower(),
+    "strip": lambda v, *_: str(v).strip(),
+    "size": lambda v, *_: len(v) if hasattr(v, "__len__") else 0,
+    "join": lambda v, by=" ", *_: by.join(map(str, v)),
+    "first": lambda v, *_: v[0] if v else None,
+    "last": lambda v, *_: v[-1] if v else None,
+    "default": lambda v, other="", *_: other if v in (None, "", False, []) else v,
+    "append": lambda v, more="", *_: f"{v}{more}",
+    "prepend": lambda v, more="", *_: f"{more}{v}",
+    "replace": lambda v, old="", new="", *_: str(v).replace(old, new),
+    "truncate": lambda v, n="50", *_: str(v) if len(str(v)) <= int(n) else str(v)[: max(0, int(n) - 3)] + "...",
+    "date": lambda v, form="%Y-%m-%d", *_: v.strftime(form) if hasattr(v, "strftime") else str(v),
+    "escape": lambda v, *_: html.escape(str(v)),
+}
+
+
+def context(values: dict) -> dict:
+    """Template values: keys as text, dates and times as ISO text, at any depth."""
+
+    def told(v):
+        if isinstance(v, (date, time)):  # datetimes are dates
+            return v.isoformat().replace("+00:00", "Z")
+        if isinstance(v, dict):
+            return {str(k): told(x) for k, x in v.items()}
+        if hasattr(v, "asDict"):
+            return told(v.asDict())
+        return [told(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    return told(values)
+
+
 def rendered(template: str, values: dict) -> str:
-    """The template with each {{ a.b }} replaced; an unknown name fails."""
+    """The template with each {{ a.b | filter: "x" }} replaced; an unknown name or filter fails. A blank template is the default one."""
+    known = context(values)
 
-    def value(m):
-        at = values
-        for part in m[1].split("."):
+    def found(name: str):
+        at = known
+        for part in name.split("."):
             if not isinstance(at, dict) or part not in at:
-                raise ConfigError(f"unknown name {m[1]}")
+                raise ConfigError(f"unknown name {name}")
             at = at[part]
-        return "" if at is None else str(at)
+        return at
+
+    def value(m):
+        at = found(m[1])
+        for step in _FILTER.finditer(m[2] or ""):
+            if step[1] not in FILTERS:
+                raise ConfigError(f"unknown filter {step[1]}")
+            given = [a or b or c for a, b, c in re.findall(r"\"([^\"]*)\"|'([^']*)'|([\w.%-]+)", step[2] or "")]
+            at = FILTERS[step[1]](at, *given)
+        return "" if at is None else "".join(map(str, at)) if isinstance(at, list) else str(at).lower() if isinstance(at, bool) else str(at)
+
+    return re.sub(r"\{\{\s*([A-Za-z_][\w.]*)\s*((?:\|[^}]*)?)\}\}", value, template)
+
 
-    return re.sub(r"\{\{\s*([A-Za-z_][\w.]*)\s*\}\}", value, template)
+_FILTER = re.compile(r"""\|\s*(\w+)\s*(?::((?:\s*(?:"[^"]*"|'[^']*'|[^|"'])+)))?""")

@@ -86,20 +86,31 @@ def test_rate(spark, samples, now, current, rate):
     assert throughput.rate_now(d, now, current).first()["rate"] == rate
 
 
-def _graph(spark, samples, now, current):
-    d = spark.createDataFrame([("s", t, v, i) for i, (t, v) in enumerate([(now, current), *samples])], "series string, ts_ms long, total long, pos int")
+def test_graphs(spark):
+    """Against a plain fold over neighbouring samples."""
+    rng, now, width = random.Random(4), 1_234_567, 600_000 // 24
+    samples, total = [], 0
+    for t in sorted(rng.sample(range(now - 700_000, now), 90)) + [now]:
+        total = total + rng.randint(0, 400) if rng.random() < 0.9 else rng.randint(0, 50)
+        samples.append((t, total))
+    kept = [x for x in samples if x[0] >= now - 600_000]
+    start, held = now // width * width - width * 23, [[] for _ in range(24)]
+    for (t0, v0), (t1, v1) in zip(kept, kept[1:], strict=False):
+        if t1 >= start:
+            held[min(23, (t1 - start) // width)].append(max(0, v1 - v0) / ((t1 - t0) / 1000))
+    mean = [sum(h) / len(h) if h else 0.0 for h in held]
+    expected = "".join(BLOCKS[int(x / max(mean) * 7 + 0.5)] for x in mean)
+    d = spark.createDataFrame([("s", t, v, i) for i, (t, v) in enumerate(reversed(samples))], "series string, ts_ms long, total long, pos int")
     got = throughput.levels(throughput.bucket_rates(d, now)).orderBy("bucket").collect()
-    return "".join(BLOCKS[r["level"]] for r in got)
+    assert "".join(BLOCKS[r["level"]] for r in got) == expected and len(set(expected)) > 3
 
 
-def test_graphs(spark):
-    assert _graph(spark, [(t, t // 100) for t in range(575_000, -1, -25_000)], 600_000, 6000) == "█" * 24
-    t = v = 0
-    samples = []
-    for k in range(1, 25):
-        samples.append((t, v))
-        t, v = t + 25_000, v + 2 * k * 25
-    assert _graph(spark, [(t, v), *reversed(samples)], 600_000, v) == "▁▂▂▂▃▃▃▃▄▄▄▅▅▅▆▆▆▆▇▇▇██▅"
+def test_numbered(spark):
+    rng = random.Random(2)
+    rows = [item(f"n{k}", priority=rng.choice([1, 2, None, 7]), created=rng.choice([None, datetime(2026, 1, 1, rng.randint(0, 5), rng.randint(0, 59))])) for k in range(60)]
+    got = [r["id"] for r in dispatch.numbered(items(spark, rows)).orderBy("pos").collect()]
+    assert got == [r["id"] for r in items(spark, rows).orderBy(*dispatch.dispatch_order()).collect()]
+    assert sorted(r["pos"] for r in dispatch.numbered(items(spark, rows)).collect()) == list(range(1, 61))
 
 
 def test_attempts_and_stalls(spark):
