@@ -13,7 +13,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text that are worked on at once, to bound a worker's memory.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(n, base, U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n > 4 * CHUNK:  # one very long text: don't keep its table
+        if n > CHUNK + 4096:  # one very long text: don't keep its table
             return have
         _powers[base] = have
     return have

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bytewise import U, by_bucket, packed, prefix_hash, slices, span_hash, texts_of, unpacked, words_of
 from .common import consecutive, dropped, only, partitions, written
 
-GROUP = 4 << 20
+GROUP = 2 << 20
 HOT = 1e-4
 SMOOTH = 0.1
 PASSES = 4
@@ -41,7 +41,7 @@ LONG = 64
 GRAIN = 2.0**-20
 
 
-def _hashes(a, start, end, block=2 << 20):
+def _hashes(a, start, end, block=1 << 20):
     """Hash of every word, by blocks of the bytes."""
     out, i = np.empty(len(start), U), 0
     while i < len(start):
@@ -442,7 +442,7 @@ def _join_sums(batches):
 def score_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT, passes: int = PASSES) -> DataFrame:
     """Learns from the documents outside the held-out tenth and scores all of them."""
     spark = df.sparkSession
-    n = partitions(spark, df.select(f"`{text_col}`"))
+    n = partitions(spark, df.select(f"`{text_col}`"), size=4 << 20)
     d = only(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
     d = d.withColumn("rid", F.monotonically_increasing_id())

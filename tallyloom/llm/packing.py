@@ -29,8 +29,8 @@ from .bytewise import slices
 from .common import only, partitions, written
 
 CAPACITY, END = 4096, 1
-#: Distinct words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Distinct parts of texts whose ids a worker remembers, some 60 MB of them; beyond it the memory starts anew.
+REMEMBERED = 200_000
 
 
 # The settings of a tokenizer of lower-case words whose parts _Ids can cut by itself.
