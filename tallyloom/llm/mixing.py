@@ -46,7 +46,7 @@ def ranked_sources(sizes: DataFrame) -> DataFrame:
     """
     order = [F.col("source").isNull(), F.col("source")]
     dealt = sizes.repartitionByRange(partitions(sizes.sparkSession), *order).withColumn("_range", F.spark_partition_id())
-    dealt = written(dealt)
+    dealt = written(dealt)  # its ranges are sampled: read again, they would be others
     counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
     before, sum_ = {}, 0
     for k in sorted(counts):
@@ -150,14 +150,13 @@ def mix(table: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     sources = with_targets(ranked_sources(sizes), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
     sources = sources.withColumn("whole", F.least(whole, F.lit(int(most))))
-    sources = written(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    sources = sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     # a source has some STEPS classes for each doubling of its longest text, at any number of rows
     of_source = classes.groupBy("source").agg(F.collect_list(F.struct("class", "n", "words")).alias("classes"))
     same = of_source["source"].eqNullSafe(sources["source"])
     ship(table.sparkSession)
     drawn = of_source.join(sources.select("source", "rest"), same).select(of_source["source"], "rest", "classes").mapInArrow(_numbered, "source string, class int, n long, words long, draws long")
-    drawn = written(drawn)
-    plan = drawn.join(sources.drop("place", "weight", "rest"), drawn["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    plan = written(drawn.join(sources.drop("place", "weight", "rest"), drawn["source"].eqNullSafe(sources["source"])).drop(sources["source"]))
     # the last rank taken of each class that is drawn in part
     part = plan.where("draws > 0 AND draws < n").select("source", "class", "n", "words", "draws")
     value = ranking_value(F.col("u"), F.col("size"), F.col("n"), F.col("words"), F.col("draws"))
