@@ -156,7 +156,8 @@ def mix(table: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     same = of_source["source"].eqNullSafe(sources["source"])
     ship(table.sparkSession)
     drawn = of_source.join(sources.select("source", "rest"), same).select(of_source["source"], "rest", "classes").mapInArrow(_numbered, "source string, class int, n long, words long, draws long")
-    plan = written(drawn.join(sources.drop("place", "weight", "rest"), drawn["source"].eqNullSafe(sources["source"])).drop(sources["source"]))
+    own = sources.drop("place", "weight", "rest").withColumnRenamed("source", "_s")
+    plan = written(drawn.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     # the last rank taken of each class that is drawn in part
     part = plan.where("draws > 0 AND draws < n").select("source", "class", "n", "words", "draws")
     value = ranking_value(F.col("u"), F.col("size"), F.col("n"), F.col("words"), F.col("draws"))
