@@ -6,7 +6,9 @@ profile its own most frequent n-grams are least out of place in.
 
 Defined results: null text or a text without letters gives `und` and score 0, as
 does a table without training rows; a language is learned only where it is not
-null; ties go to the language that sorts first; an absent id counts as ''.
+null; ties go to the language that sorts first; an absent id counts as ''; repeated rows
+are each named alike; very long texts count whole; extra columns are left alone,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ once. Every document then finds its bin by its rank among those of its length.
 The outcome is that of best-fit decreasing over all documents, not of parts.
 
 Defined results: null text is empty and becomes one piece with the end token
-alone; repeated rows and rows without an id are packed each on their own; an
-empty table gives no rows.
+alone; repeated rows and rows without an id are packed each on their own; texts of
+any length are tokenized whole and cut into pieces; pieces of equal length (ties)
+take their places by id, piece and checksum; extra columns are left alone, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

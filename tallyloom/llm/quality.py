@@ -1,8 +1,12 @@
 """Quality rules: a threshold table compiled into one projection, with built-in functions only.
 
+Stop words are those of four languages; long texts in others fail that rule.
+
 Defined results: null text has no words and fails the base rule; an empty table
-gives no rows; repeated rows are judged alike, each on its own; extra columns of
-the input are left alone, whatever their names.
+gives no rows; repeated rows are judged alike, each on its own, and there are no
+ties to break: bounds are inclusive; very long texts are measured whole, their
+repeated windows by 64-bit hashes; rows may lack an id; extra columns of the input
+are left alone, whatever their names.
 """
 
 from __future__ import annotations

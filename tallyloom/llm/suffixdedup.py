@@ -20,10 +20,12 @@ A hot passage reaches a bucket once from each group, not once from each document
 of anchors that very many groups have, each window is sent by itself, to a bucket
 that its first bytes choose, so the first digit's pass is done by the shuffle.
 
-Defined results: null text is empty; rows without an id count as one document
+Ids are integers below 2**63 - 1. Defined results: null text is empty; rows without an id count as one document
 that comes after all others, and rows of equal id as one document (windows they
 share with each other stay); repeats within a document stay; texts below DEPTH
-bytes stay whole; an empty table gives no rows.
+bytes stay whole; longer ones of any size are cut whole, each group of documents
+in one task; ties, that is equal windows of many documents, go to the smallest id;
+extra columns are left alone, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -92,3 +92,16 @@ def test_pipeline(spark, tmp_path):
     text = dict(expected)
     assert sum(r["length"] for r in docs.collect()) == sum(n * (1 + len(t.encode(text[i], add_special_tokens=False).ids)) for i, n in mixed.items())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_on_odd_tables(spark, docs, tmp_path):
+    """Empty and all-null tables, repeated rows and extra columns go through every stage."""
+    odd = [(None, None), (1, ""), (2, None), (3, "the of and " * 3)]
+    for rows, kept in (([], [0, 0, 0, 0, 0]), (odd, [0, 2, 4, 0, 4])):
+        for (_, stage), n in zip(corpus_pipeline.STAGES, kept, strict=True):
+            out = stage(spark, docs(rows), str(tmp_path))
+            if n is not None and not (rows and stage is corpus_pipeline.mix):
+                assert out.count() == n, stage
+            if stage is not corpus_pipeline.pack:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, docs(odd), "").collect()) == {None: 1, 1: 1, 2: 1, 3: 1}
