@@ -3,6 +3,21 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of `documents`; a stage's result is written as Parquet and
 read again as the next stage's docs.
+
+Every stage takes null ids, texts, languages and sources, empty and very long
+texts (whole), repeated rows, extra columns of any name (which it drops) and
+empty tables, which give no rows. What each stage makes of them, and of ties:
+
+quality rules      null and empty texts fail the base rule and go; repeated rows
+                   are judged alike and stay or go together
+near-duplicates    one row of each class stays, that of the smallest id (of rows
+                   without one, if no other is there); of equal rows, any one
+repeated passages  null text becomes empty; rows without an id count as the last
+                   document; of a passage, the smallest id's copy stays
+source mix         null is a source of its own; texts without words get whole
+                   copies only; ties in the draw go by id, then by all columns,
+                   then by the row's number in the written table
+packing            a null or empty text is one piece with the end token alone
 """
 
 from __future__ import annotations
@@ -10,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import written
+from tallyloom.llm.common import dropped, written
 from tallyloom.llm.mixing import mixed_rows
 from tallyloom.llm.neardup import first_of_class
 from tallyloom.llm.packing import pack_documents
@@ -60,7 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        dropped(*before)  # a stage's table goes as soon as the next one stands
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
