@@ -217,7 +217,11 @@ def counter_delta(spark, d):
     return accounting.deltas(e, "reported", order="at").select(F.col("seq").alias("event_id"), "delta")
 
 
-_USAGE = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("reported").alias("input_tokens"), (F.col("reported") * 2).alias("outputTokens"), (F.col("reported") * 3).alias("total_tokens")).alias("total")).alias("tokenUsage")).alias("params")))
+def _usage():
+    """A message that reports cumulative counters."""
+    n = F.col("reported")
+    counters = F.struct(n.alias("input_tokens"), (n * 2).alias("outputTokens"), (n * 3).alias("total_tokens"))
+    return F.to_json(F.struct(F.struct(F.struct(counters.alias("total")).alias("tokenUsage")).alias("params")))
 
 
 @query(_DELTA + """ SELECT sum(delta)::BIGINT AS input_tokens, (2 * sum(delta))::BIGINT AS output_tokens, (3 * sum(delta))::BIGINT AS total_tokens,
@@ -226,7 +230,7 @@ def counter_totals(spark, d):
     """Totals of all runs from the counters that their messages report, and their seconds."""
     e = _events(spark, d)
     ended = e.groupBy("issue_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
-    e = e.withColumn("payload", _USAGE).withColumn("seq", F.struct("ts", "seq"))
+    e = e.withColumn("payload", _usage()).withColumn("seq", F.struct("ts", "seq"))
     return accounting.totals(e, ended)
 
 
