@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewise import U, by_bucket, mixed, packed, powers, prefix_hash, slices, span_hash, texts_of, unpacked
-from .common import consecutive, dropped, partitions, ship, written
+from .common import consecutive, partitions, ship, written
 
 DEPTH, GRAM, GROUP = 50, 28, 4 << 20
 #: An anchor that so many groups have sends single windows, spread by their first bytes, in place of runs.
@@ -390,11 +390,10 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = partitions(spark, written_groups, size=16 << 20)
     groups = written_groups.where("kind = 0")
     sent = groups.mapInArrow(_send_anchors(n, depth, gram), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
-    known = written(sent.mapInArrow(_find_repeats(hot_groups), _ROW))
+    known = sent.mapInArrow(_find_repeats(hot_groups), _ROW)  # no table: it is read once, and each file written has the JVM spawn processes
     runs = groups.unionByName(known).repartition(n, "gid").sortWithinPartitions("gid", "kind").mapInArrow(_send_runs(n, depth, gram), _ROW)
     place = F.when(F.col("kind") == 2, F.col("bucket").cast("long")).otherwise(F.col("gid"))
     solved = written(runs.repartition(n, place).sortWithinPartitions("bucket").mapInArrow(_resolve(depth - gram), _ROW))
-    dropped(known)
     schema = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, " + (
         "kept_text string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name.startswith("carried_")) if carry else "kept binary"
     )

@@ -233,3 +233,15 @@ def test_held_out_language(docs):
     out = language_id(docs(rows)).collect()
     assert all(x["lang_pred"] == truth[x["doc_id"]] for x in out) and any(x["held_out"] for x in out)
     assert language_id(docs([(2, "12 !!", ("xx", None)), (1, "ab", (None, None))])).where(F.col("lang_pred") != "und").count() == 0
+
+
+def test_passages_write_two_tables(docs, monkeypatch):
+    """A third, of what groups ask about anchors, was written though it is read once."""
+    from tallyloom.llm import suffixdedup
+
+    tables, write = [], suffixdedup.written
+    monkeypatch.setattr(suffixdedup, "written", lambda df: tables.append(1) or write(df))
+    passage = "the same passage of more than fifty bytes, in two documents of three"
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixdedup.dedup_passages(docs([(1, "a " + passage), (2, passage + " b"), (3, "c")])).collect()}
+    assert got == {1: "a " + passage, 2: " b", 3: "c"}
+    assert len(tables) == 2
