@@ -89,28 +89,31 @@ def may_limit(payload: Column) -> Column:
 
 
 def rate_limit_bucket(x: Column) -> Column:
-    remaining, limit, reset = (lenient_integer(at(x, *names)) for names in (("remaining",), ("limit",), ("reset_in_seconds", "resetInSeconds")))
-    counts = F.when(remaining.isNotNull() & limit.isNotNull(), F.concat(F.format_number(remaining, 0), F.lit("/"), F.format_number(limit, 0)))
-    return F.when(x.isNotNull(), F.concat_ws(" ", F.coalesce(counts, F.lit("n/a")), F.when(reset.isNotNull(), F.concat(F.lit("reset "), F.format_number(reset, 0), F.lit("s")))))
+    return bound(x, _rate_limit_bucket)
+
+
+def _rate_limit_bucket(x: Column) -> Column:
+    number = lambda *names: F.format_number(lenient_integer(at(x, *names)), 0)
+    counts = F.coalesce(F.concat(number("remaining"), F.lit("/"), number("limit")), F.lit("n/a"))
+    reset = F.concat(F.lit("reset "), number("reset_in_seconds", "resetInSeconds"), F.lit("s"))
+    return F.when(x.isNotNull(), F.concat_ws(" ", counts, reset))
+
+
+def _money(credits: Column) -> Column:
+    amount = lambda v: F.when(v.isNotNull(), F.concat(F.lit("credits "), F.format_string("%.2f", v.try_cast("double"))))
+    held = lambda has: F.when(has == "false", "credits none").otherwise(F.coalesce(bound(at(credits, "balance"), amount), F.when(has == "true", "credits available")))
+    return F.when(at(credits, "unlimited") == "true", "credits unlimited").otherwise(bound(at(credits, "has_credits"), held))
 
 
 def rate_limits_text(x: Column) -> Column:
-    return bound(x, _rate_limits_text)
+    return bound(bound(x, _rate_limits_text), lambda t: F.when(t == "", "unavailable").otherwise(t))
 
 
 def _rate_limits_text(x: Column) -> Column:
-    credits = at(x, "credits")
-    money = (
-        F.when(at(credits, "unlimited") == "true", "credits unlimited")
-        .when(at(credits, "has_credits") == "false", "credits none")
-        .when(at(credits, "balance").isNotNull(), F.concat(F.lit("credits "), F.format_string("%.2f", at(credits, "balance").try_cast("double"))))
-        .when(at(credits, "has_credits") == "true", "credits available")
-    )
     part = lambda word, v: F.concat(F.lit(f"{word} "), v)
-    text = F.concat_ws(
-        " | ", at(x, "limit_id", "limit_name"), part("primary", rate_limit_bucket(at(x, "primary"))), part("secondary", rate_limit_bucket(at(x, "secondary"))), money
+    return F.concat_ws(
+        " | ", at(x, "limit_id", "limit_name"), part("primary", rate_limit_bucket(at(x, "primary"))), part("secondary", rate_limit_bucket(at(x, "secondary"))), bound(at(x, "credits"), _money)
     )
-    return F.when(x.isNull() | (text == ""), "unavailable").otherwise(text)
 
 
 def command_text(x: Column) -> Column:

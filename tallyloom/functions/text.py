@@ -67,8 +67,7 @@ def retry_delay_ms(attempt: Column, continuation: Column, cap_ms: int = 300_000)
 
 def lenient_integer(x: Column) -> Column:
     """Leading non-negative integer of a text: `12abc` is 12."""
-    n = F.regexp_extract(trimmed(x), r"^([+-]?[0-9]+)", 1).try_cast("long")
-    return F.when(n >= 0, n)
+    return F.regexp_extract(x, r"(?U)^\s*(\+?[0-9]+|-0+(?![0-9]))", 1).try_cast("long")
 
 
 def strict_integer(x: Column) -> Column:

@@ -102,3 +102,30 @@ def test_rate_limits(spark):
 
     deep = json.dumps({"a": [{"b": {"c": limits}}]})
     assert json.loads(one(spark, ev.rate_limits(F.lit(deep)))) == limits
+
+
+def _evaluations(spark, column, what="get_json_object"):
+    """How often the plan of a text's expression holds what."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(column(F.col("x")).alias("y"))
+    return plan._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_limit_texts_read_each_member_once(spark):
+    """Was 156: every use of a number or a bucket took it out of the JSON text again."""
+    assert _evaluations(spark, ev.rate_limits_text) <= 16
+
+
+def test_limit_texts_of_odd_parts(spark):
+    cases = {
+        None: "unavailable", "{}": "unavailable", "[]": "unavailable",
+        '{"primary":{"remaining":"-0","limit":"+8 a"}}': "primary 0/8", '{"primary":{"remaining":-3,"limit":2},"secondary":"x"}': "primary n/a | secondary n/a",
+        '{"credits":{"has_credits":false,"balance":3}}': "credits none", '{"credits":{"has_credits":true}}': "credits available",
+    }
+    got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", ev.rate_limits_text(F.col("x")).alias("t")).collect()
+    assert {r["x"]: r["t"] for r in got} == cases
+
+
+def test_lenient_integers(spark):
+    cases = {"-0": 0, "-00x": 0, "-007": None, "+8": 8, "  5 ": 5, "- 1": None, "9223372036854775808": None, "": None}
+    got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", tx.lenient_integer(F.col("x")).alias("n")).collect()
+    assert {r["x"]: r["n"] for r in got} == cases
