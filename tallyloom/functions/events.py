@@ -12,7 +12,12 @@ from .text import bound, inline, lenient_integer, spaced_words, truncated, witho
 
 def at(payload: Column, *paths: str) -> Column:
     """First value found at the paths, as text (objects as JSON)."""
-    return F.coalesce(*(F.get_json_object(payload, f"$.{p}") for p in paths))
+    return F.coalesce(*(_member(payload, p) for p in paths))
+
+
+def _member(x: Column, path: str) -> Column:
+    """Value at a path; a text that holds neither its last name nor an escape, which may spell it, isn't parsed."""
+    return F.when(x.contains(path.rsplit(".", 1)[-1]) | x.contains("\\"), F.get_json_object(x, f"$.{path}"))
 
 
 # Names that usage counters go by, most trusted first.
@@ -24,7 +29,7 @@ _COUNTER_NAMES = tuple(n for n in (*INPUT_NAMES, *OUTPUT_NAMES, *TOTAL_NAMES) if
 
 
 def counter(usage: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(lenient_integer(F.get_json_object(usage, f"$.{n}")) for n in names))
+    return F.coalesce(*(lenient_integer(_member(usage, n)) for n in names))
 
 
 def _counters_or_null(usage: Column) -> Column:
@@ -132,7 +137,7 @@ def _with(base: str, value: Column, pattern: str = " (%s)") -> Column:
 
 
 def _present(base: str, value: Column, pattern: str) -> Column:
-    return F.when(F.coalesce(F.trim(value) != "", F.lit(False)), F.format_string(base + pattern, value)).otherwise(base)
+    return bound(value, lambda v: F.when(F.coalesce(F.trim(v) != "", F.lit(False)), F.format_string(base + pattern, v)).otherwise(base))
 
 
 # Sentences of methods that only name what streams.
@@ -180,16 +185,23 @@ def _item(item: Column, state: str) -> Column:
 
 def method_sentence(method: Column, p: Column) -> Column:
     """Sentence of an agent's message, by its method; an unknown method stands for itself."""
+    wrapped = lambda m: F.regexp_extract(m, f"^{WRAPPED_PREFIX}(.+)$", 1)
+    return bound(p, lambda v: bound(method, lambda m: bound(wrapped(m), lambda w: _method_sentence(m, w, v))))
+
+
+def _method_sentence(method: Column, wrapped: Column, p: Column) -> Column:
     delta = at(p, "params.delta", "params.msg.delta", "params.textDelta", "params.outputDelta", "params.text", "params.summaryText", "params.msg.payload.delta", "params.msg.payload.content")
     usage = at(p, "params.usage", "params.tokenUsage", "usage")
     total = at(p, "params.tokenUsage.total", "usage")
     plan = at(p, "params.plan", "params.steps", "params.items")
-    diff = at(p, "params.diff")
+    steps = lambda n: F.when(n.isNotNull(), F.format_string("plan updated (%d steps)", n)).otherwise("plan updated")
+    planned = bound(plan, lambda v: F.when(v.isNull(), "plan updated (0 steps)").otherwise(bound(F.json_array_length(v), steps)))
+    changed = bound(at(p, "params.diff"), lambda v: F.when(v != "", F.format_string("turn diff updated (%d lines)", line_count(v))).otherwise("turn diff updated"))
     files = at(p, "params.fileChangeCount", "params.changeCount").try_cast("long")
+    approval = bound(files, lambda n: F.when(n > 0, F.format_string("file change approval requested (%d files)", n)).otherwise("file change approval requested"))
     question = at(p, "params.question", "params.prompt")
     asks = bound(inline(question), lambda q: F.when(F.coalesce(q != "", F.lit(False)), F.concat(F.lit("tool requires user input: "), q)).otherwise("tool requires user input"))
     tool = at(p, "params.tool", "params.name")
-    wrapped = F.regexp_extract(method, f"^{WRAPPED_PREFIX}(.+)$", 1)
     command = command_text(at(p, "params.command", "params.cmd", "params.parsedCmd", "params.msg.command", "params.msg.parsed_cmd"))
     exit_code = at(p, "params.msg.exit_code", "params.msg.exitCode").try_cast("long")
     wrapped_usage = at(p, "params.msg.payload.info.total_token_usage", "params.msg.info.total_token_usage")
@@ -201,16 +213,13 @@ def method_sentence(method: Column, p: Column) -> Column:
             F.concat(F.lit("turn completed ("), F.coalesce(at(p, "params.turn.status"), F.lit("completed")), F.lit(")"), F.coalesce(F.concat(F.lit(" ("), usage_text(usage), F.lit(")")), F.lit(""))),
         ),
         (method == "turn/failed", _with("turn failed", at(p, "params.error.message"), ": %s")),
-        (method == "turn/diff/updated", F.when(diff != "", F.format_string("turn diff updated (%d lines)", line_count(diff))).otherwise("turn diff updated")),
-        (
-            method == "turn/plan/updated",
-            F.when(plan.isNull(), "plan updated (0 steps)").when(F.json_array_length(plan).isNotNull(), F.format_string("plan updated (%d steps)", F.json_array_length(plan))).otherwise("plan updated"),
-        ),
+        (method == "turn/diff/updated", changed),
+        (method == "turn/plan/updated", planned),
         (method == "thread/tokenUsage/updated", _with("thread token usage updated", usage_text(total))),
         (method == "item/started", _lifecycle(p, "started")),
         (method == "item/completed", _lifecycle(p, "completed")),
         (method == "item/commandExecution/requestApproval", _with("command approval requested", command)),
-        (method == "item/fileChange/requestApproval", F.when(files > 0, F.format_string("file change approval requested (%d files)", files)).otherwise("file change approval requested")),
+        (method == "item/fileChange/requestApproval", approval),
         (method.isin("item/tool/requestUserInput", "tool/requestUserInput"), asks),
         (method == "account/updated", F.concat(F.lit("account updated (auth "), F.coalesce(at(p, "params.authMode"), F.lit("unknown")), F.lit(")"))),
         (method == "account/rateLimits/updated", F.concat(F.lit("rate limits updated: "), rate_limits_text(at(p, "params.rateLimits")))),
@@ -233,18 +242,22 @@ def method_sentence(method: Column, p: Column) -> Column:
 
 
 def _with_name(base: Column, kind: Column) -> Column:
-    return F.when(kind.isNotNull(), F.concat(base, F.lit(" ("), kind, F.lit(")"))).otherwise(base)
+    return bound(kind, lambda k: F.when(k.isNotNull(), F.concat(base, F.lit(" ("), k, F.lit(")"))).otherwise(base))
 
 
 def event_sentence(event: Column, payload: Column) -> Column:
     """Sentence of a runtime event, 140 characters at most."""
-    method, session, tool = at(payload, "method"), at(payload, "session_id"), at(payload, "params.tool", "params.name")
+    return truncated(bound(payload, lambda p: bound(event, lambda e: bound(at(p, "method"), lambda m: _event_sentence(e, m, p)))), 140)
+
+
+def _event_sentence(event: Column, method: Column, payload: Column) -> Column:
+    session, tool = at(payload, "session_id"), at(payload, "params.tool", "params.name")
     approved, failed = F.coalesce(event == "approval_auto_approved", F.lit(False)), event == "turn_failed"
     says = method_sentence(F.when(failed, "turn/failed").otherwise(method), payload)
     after = F.when(approved, F.concat(F.lit(" (auto-approved)"), F.coalesce(F.concat(F.lit(": "), at(payload, "decision")), F.lit("")))).otherwise("")
     reason = F.coalesce(at(payload, "reason", "error"), payload)
     plain = F.trim(without_control(F.replace(payload, F.lit("\n"), F.lit(" "))))
-    sentence = (
+    return (
         F.when(payload.isNull() & event.isNull(), "no message yet")
         .when(event == "session_started", _with("session started", session))
         .when(event == "turn_input_required", "turn blocked: waiting for user input")
@@ -261,19 +274,25 @@ def event_sentence(event: Column, payload: Column) -> Column:
         .when(at(payload, "error").isNotNull(), F.concat(F.lit("error: "), F.coalesce(at(payload, "error.message"), at(payload, "error"))))
         .otherwise(plain)
     )
-    return truncated(sentence, 140)
 
 
 def route(line: Column) -> Column:
     """Kind of a protocol line: completed, failed, cancelled, notification, response, malformed, other or log."""
-    parsed = F.try_parse_json(line).isNotNull() & F.ltrim(line).startswith("{")
-    method = at(line, "method")
-    ended = F.when(method == "turn/completed", "completed").when(method == "turn/failed", "failed").when(method == "turn/cancelled", "cancelled")
-    return (
-        F.when(parsed, F.coalesce(ended, F.when(method.isNotNull(), "notification"), F.when(at(line, "id").isNotNull(), "response"), F.lit("other")))
-        .when(F.ltrim(line).startswith("{"), "malformed")
-        .otherwise("log")
-    )
+    return bound(line, _route)
+
+
+def _route(line: Column) -> Column:
+    by = lambda m: (
+        F.when(m == "turn/completed", "completed").when(m == "turn/failed", "failed").when(m == "turn/cancelled", "cancelled").when(m.isNotNull(), "notification")
+        .when(at(line, "id").isNotNull(), "response").otherwise("other")
+    )
+    kind = F.when(F.try_parse_json(line).isNotNull(), bound(at(line, "method"), by)).otherwise("malformed")
+    return F.when(is_object(line), kind).otherwise("log")
+
+
+def is_object(line: Column) -> Column:
+    """The line sets out as a JSON object; others are log lines."""
+    return F.coalesce(F.ltrim(line).startswith("{"), F.lit(False))
 
 
 # Messages that wait for an operator.

@@ -129,3 +129,16 @@ def test_lenient_integers(spark):
     cases = {"-0": 0, "-00x": 0, "-007": None, "+8": 8, "  5 ": 5, "- 1": None, "9223372036854775808": None, "": None}
     got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", tx.lenient_integer(F.col("x")).alias("n")).collect()
     assert {r["x"]: r["n"] for r in got} == cases
+
+
+def test_sentences_find_the_method_once(spark):
+    """Was 50 and more: every case of a method took it out of the JSON text again."""
+    assert _evaluations(spark, lambda x: ev.event_sentence(F.lit("notification"), x), "$.method)") == 1
+    assert _evaluations(spark, ev.route, "$.method)") == 1
+
+
+def test_names_spelled_by_escapes(spark):
+    """Texts without a name aren't parsed, those that may spell it are."""
+    cases = {'{"m\\u0065thod":"x"}': "x", '{"method":"y"}': "y", '{"methods":"z"}': None, '{"a":"\\n"}': None, "method": None, "{}": None, None: None}
+    got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", ev.at(F.col("x"), "method").alias("m")).collect()
+    assert {r["x"]: r["m"] for r in got} == cases
