@@ -16,8 +16,9 @@ def at(payload: Column, *paths: str) -> Column:
 
 
 def _member(x: Column, path: str) -> Column:
-    """Value at a path; a text that holds neither its last name nor an escape, which may spell it, isn't parsed."""
-    return F.when(x.contains(path.rsplit(".", 1)[-1]) | x.contains("\\"), F.get_json_object(x, f"$.{path}"))
+    """Value at a path; a text that holds neither its longest name nor an escape, which may spell it, isn't parsed."""
+    name = max(path.split("."), key=lambda n: (n != "params", len(n)))
+    return F.when(x.contains(name) | x.contains("\\"), F.get_json_object(x, f"$.{path}"))
 
 
 # Names that usage counters go by, most trusted first.
@@ -33,16 +34,19 @@ def counter(usage: Column, names: tuple[str, ...]) -> Column:
 
 
 def _counters_or_null(usage: Column) -> Column:
-    return F.when(usage.startswith("{") & counter(usage, _COUNTER_NAMES).isNotNull(), usage)
+    return bound(usage, lambda u: F.when(u.startswith("{"), F.when(counter(u, _COUNTER_NAMES).isNotNull(), u)))
 
 
 def token_usage(payload: Column, usage: Column | None = None) -> Column:
     """Cumulative usage map of an event: an absolute total if any, else that of a completed turn."""
-    sources = [payload] if usage is None else [usage, payload]
-    absolute = [_counters_or_null(F.get_json_object(s, f"$.{p}")) for s in sources for p in ABSOLUTE_PATHS]
-    turn = [
-        F.when(F.get_json_object(s, "$.method") == "turn/completed", _counters_or_null(at(s, "usage", "params.usage"))) for s in sources
-    ]
+    if usage is None:
+        return bound(payload, lambda p: _token_usage([p]))
+    return bound(usage, lambda u: bound(payload, lambda p: _token_usage([u, p])))
+
+
+def _token_usage(sources: list[Column]) -> Column:
+    absolute = [_counters_or_null(at(s, p)) for s in sources for p in ABSOLUTE_PATHS]
+    turn = [F.when(at(s, "method") == "turn/completed", _counters_or_null(at(s, "usage", "params.usage"))) for s in sources]
     return F.coalesce(*absolute, *turn)
 
 
@@ -305,18 +309,25 @@ OPERATOR_OUTCOMES = ("input_required", "needs_input", "approval_required")
 
 def needs_operator(event: Column, payload: Column, completion: Column | None = None) -> Column:
     """The event, the message or the outcome of a completion (a JSON text, else the payload's) waits for an operator."""
+    return bound(payload, lambda p: _needs_operator(event, p, completion))
+
+
+def _needs_operator(event: Column, payload: Column, completion: Column | None) -> Column:
     outcome = at(payload, "completion.outcome", "outcome", "params.turn.status", "status")
     if completion is not None:
-        outcome = F.coalesce(at(completion, "outcome"), outcome)
+        outcome = F.coalesce(bound(completion, lambda c: at(c, "outcome")), outcome)
     waits = (event.isin(*OPERATOR_EVENTS), at(payload, "method").isin(*INPUT_METHODS), outcome.isin(*OPERATOR_OUTCOMES))
     return reduce(lambda a, b: a | b, (F.coalesce(w, F.lit(False)) for w in waits))
 
 
-def envelope(line: Column, now: Column) -> list[Column]:
-    """Event, time, usage and payload columns of a protocol line."""
-    kind = route(line)
+def envelope(line: Column, now: Column) -> Column:
+    """Event, time, usage and payload of a protocol line, in a struct."""
+    return bound(line, lambda v: bound(route(v), lambda kind: _envelope(v, kind, now)))
+
+
+def _envelope(line: Column, kind: Column, now: Column) -> Column:
     event = F.when(kind == "completed", "turn_completed").when(kind == "failed", "turn_failed").when(kind == "cancelled", "turn_cancelled").otherwise(kind)
-    return [event.alias("event"), now.alias("ts"), F.when(kind != "log", token_usage(line)).alias("usage"), F.when(kind != "malformed", line).alias("payload"), F.when(kind == "malformed", line).alias("raw")]
+    return F.struct(event.alias("event"), now.alias("ts"), F.when(kind != "log", token_usage(line)).alias("usage"), F.when(kind != "malformed", line).alias("payload"), F.when(kind == "malformed", line).alias("raw"))
 
 
 def last_message(event: Column, payload: Column, raw: Column, ts: Column) -> Column:

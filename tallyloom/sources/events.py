@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.events import envelope, route
+from ..functions.events import envelope, is_object
 
 
 def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -17,7 +17,8 @@ def runtime_events(lines: DataFrame, line: str = "value", now=None) -> DataFrame
     """Envelope of each protocol line; ordinary log lines are left out."""
     now = F.current_timestamp() if now is None else now
     keep = [c for c in lines.columns if c != line]
-    return lines.where(route(F.col(line)) != "log").select(*keep, *envelope(F.col(line), now))
+    made = lines.where(is_object(F.col(line))).select(*keep, envelope(F.col(line), now).alias(line))
+    return made.select(*keep, *(F.col(line)[c].alias(c) for c in ("event", "ts", "usage", "payload", "raw")))
 
 
 def marker_rows(lines: DataFrame, marker: str, line: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.events import INPUT_NAMES, OUTPUT_NAMES, TOTAL_NAMES, counter, needs_operator, token_usage
+from ..functions.text import bound
 
 _STATE = "input long, output long, total long, turns long, session string, last_event string, last_ms long, attempt long, retry_at long"
 OUTPUT = "issue_id string, kind string, at_ms long, event string, input_tokens long, output_tokens long, total_tokens long, turn_count long, session_id string, attempt long, due_ms long"
@@ -21,13 +22,10 @@ def prepared(events: DataFrame, running: DataFrame | None = None) -> DataFrame:
     """Events with a run, an event name and a time, and the counters they report; with running(issue_id), only of these runs."""
     if running is not None:
         events = events.join(running.select("issue_id").distinct(), "issue_id", "left_semi")
-    usage = token_usage(F.col("payload"))
+    counts = lambda u: F.struct(counter(u, INPUT_NAMES).alias("input"), counter(u, OUTPUT_NAMES).alias("output"), counter(u, TOTAL_NAMES).alias("total"))
     known = events.where("issue_id IS NOT NULL AND event IS NOT NULL AND ts IS NOT NULL")
     event = F.when(needs_operator(F.col("event"), F.col("payload")), "turn_input_required").otherwise(F.col("event"))
-    return known.select(
-        "issue_id", event.alias("event"), "ts", "session_id",
-        counter(usage, INPUT_NAMES).alias("input"), counter(usage, OUTPUT_NAMES).alias("output"), counter(usage, TOTAL_NAMES).alias("total"),
-    )
+    return known.select("issue_id", event.alias("event"), "ts", "session_id", bound(token_usage(F.col("payload")), counts).alias("counts")).select("issue_id", "event", "ts", "session_id", "counts.*")
 
 
 class RunProcessor(StatefulProcessor):

@@ -132,7 +132,7 @@ def test_lenient_integers(spark):
 
 
 def test_sentences_find_the_method_once(spark):
-    """Was 50 and more: every case of a method took it out of the JSON text again."""
+    """Was 50: every case of a method took it out of the JSON text again."""
     assert _evaluations(spark, lambda x: ev.event_sentence(F.lit("notification"), x), "$.method)") == 1
     assert _evaluations(spark, ev.route, "$.method)") == 1
 
@@ -142,3 +142,23 @@ def test_names_spelled_by_escapes(spark):
     cases = {'{"m\\u0065thod":"x"}': "x", '{"method":"y"}': "y", '{"methods":"z"}': None, '{"a":"\\n"}': None, "method": None, "{}": None, None: None}
     got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", ev.at(F.col("x"), "method").alias("m")).collect()
     assert {r["x"]: r["m"] for r in got} == cases
+
+
+def test_envelopes_find_each_total_once(spark):
+    """The usage of a line was taken out of it again by every counter and check."""
+    from tallyloom.sources.events import runtime_events
+
+    e = runtime_events(spark.range(1).select(F.col("id").cast("string").alias("value")), now=F.lit("now"))
+    assert e.columns == ["event", "ts", "usage", "payload", "raw"]
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count("$.params.tokenUsage.total)"), plan.count("$.method)")] == [1, 2]
+
+
+def test_stream_counters_find_each_total_once(spark):
+    from tallyloom.streaming.runs import prepared
+
+    rows = [("r", "e", None, json.dumps({"tokenUsage": {"total": {"input": 1, "outputTokens": "7x", "total": 9}}}))]
+    events = spark.createDataFrame(rows, "issue_id string, event string, session_id string, payload string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    p = prepared(events)
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("$.params.tokenUsage.total)") == 1
+    assert [p.columns, *(list(r)[4:] for r in p.collect())] == [["issue_id", "event", "ts", "session_id", "input", "output", "total"], [1, 7, 9]]
